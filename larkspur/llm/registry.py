@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from larkspur.llm import exact_dedup, mixing, warc
+from larkspur.llm import exact_dedup, mixing, quality, tiff, token_counts, toxicity, warc
 
 
 def queries():
     return {
+        toxicity.QUERY: toxicity.op2_toxicity,
         mixing.QUERY: mixing.op4_mix_sources,
         warc.QUERY: warc.op6_warc_revisits,
+        token_counts.QUERY: token_counts.op7_token_counts,
         exact_dedup.QUERY: exact_dedup.op8_exact_dedup,
+        tiff.QUERY: tiff.op9_tiff_pages,
+        quality.QUERY: quality.op10_quality,
     }
 
 
