@@ -34,7 +34,7 @@ from larkspur.llm.common import small_batches, steps, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONG = 48
-REMEMBER = 400_000
+REMEMBER = 700_000
 STEP_BYTES = 4 << 20
 
 
@@ -85,7 +85,17 @@ def suffix_array(codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray,
         for k in range(per):
             key = (key << np.uint64(bits)) | (padded[lo + k : lo + k + n] if lo + k < depth else np.uint64(0))
         keys.append(key)
-    order = np.lexsort(keys[::-1])
+    # The first key alone decides most places; only runs of equal ones are sorted by the rest.
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    equal = np.zeros(n, bool)
+    equal[1:] = first[1:] == first[:-1]
+    run = np.cumsum(~equal)
+    equal[:-1] |= equal[1:]
+    tied = np.flatnonzero(equal)
+    if len(tied):
+        own = order[tied]
+        order[tied] = own[np.lexsort([k[own] for k in keys[:0:-1]] + [run[tied]])]
     return order, [k[order] for k in keys]
 
 
