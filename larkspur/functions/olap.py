@@ -249,7 +249,7 @@ def sequence_match(pattern: str):
             if n > 12:
                 raise InvalidArguments("a sequence has 12 conditions at most")
             # Characters from U+4E00 on: one for each set of conditions.
-            event = F.struct(stamp.alias("at"), F.decode(F.unhex(F.lpad(F.hex(mask + F.lit(0x4E00)), 4, "0")), F.lit("UTF-16BE")).alias("c"), stamp.cast("timestamp").cast("double").alias("s"))
+            event = F.struct(stamp.alias("at"), F.decode(F.unhex(F.lpad(F.hex(mask + F.lit(0x4E00)), 4, "0")), "UTF-16BE").alias("c"), stamp.cast("timestamp").cast("double").alias("s"))
             events = F.array_sort(F.collect_list(F.when(stamp.isNotNull() & (mask > 0), event)))
             if any(m[2] for m in tokens):
                 return _timed(events, tokens, n)
@@ -268,6 +268,10 @@ def _chars(k: int, n: int) -> str:
 _OPS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
 
 
+def _within(event: Column, op: str, seconds: int) -> Any:
+    return lambda x: (x < 0) | _OPS[op](event["s"] - x, F.lit(float(seconds)))
+
+
 def _timed(events: Column, tokens: list, n: int) -> Column:
     """A nondeterministic automaton: after each event, for each place in the pattern, the times of the last matched event."""
     places: list[tuple[str, Any]] = []
@@ -307,7 +311,7 @@ def _timed(events: Column, tokens: list, n: int) -> Column:
             while after > 0 and places[after - 1][0] == "t":
                 op, seconds = places[after - 1][1]
                 after -= 1
-                times = F.filter(old[after], lambda x, op=op, seconds=seconds: (x < 0) | _OPS[op](event["s"] - x, F.lit(float(seconds))))
+                times = F.filter(old[after], _within(event, op, seconds))
             on = F.lit(True) if kind == "." else F.instr(F.lit("".join(chr(0x4E00 + m) for m in range(1, 1 << n) if m >> (what - 1) & 1)), event["c"]) > 0
             new[k + 1] = F.array_distinct(F.concat(new[k + 1], F.when(on & (F.size(times) > 0), F.array(event["s"])).otherwise(none)))
         new = closed(new)
@@ -572,12 +576,12 @@ def to_unix_timestamp64_nano(x: Any) -> Expr:
 
 @_named("intervalAdd")
 def interval_add(x: Any, seconds: Any) -> Expr:
-    return call("intervalAdd", (x, seconds), lambda c, s: moment(micros(c) + (s * 1_000_000).cast("long")), t.date_time64)
+    return call("intervalAdd", (x, seconds), lambda c, s: moment(micros(c) + (s * F.lit(1_000_000).cast("long")).cast("long")), t.date_time64)
 
 
 @_named("intervalSub")
 def interval_sub(x: Any, seconds: Any) -> Expr:
-    return call("intervalSub", (x, seconds), lambda c, s: moment(micros(c) - (s * 1_000_000).cast("long")), t.date_time64)
+    return call("intervalSub", (x, seconds), lambda c, s: moment(micros(c) - (s * F.lit(1_000_000).cast("long")).cast("long")), t.date_time64)
 
 
 #: Strftime marks and their date patterns.

@@ -1,4 +1,371 @@
-"""More registered queries: function sets, JSON, funnels, text, writes, relations and views."""
+"""More registered queries: function sets, JSON, funnels, text, writes, relations, pages and views."""
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from larkspur import types as t
+from larkspur.expr import lit, raw_expr
+from larkspur.functions import mysql, olap, pg, sqlite
+
+from larkspur.operators.paginate import page_query
+from larkspur.operators.relations import Read, Relations, many, one
+from larkspur.operators.store import Store
+from larkspur.operators.write import delete_from, excluded, insert_into, update
+from larkspur.plans.catalog import _query
+from larkspur.plans.lower import Semantics, compile_query
+from larkspur.plans.query import from_, from_query
+from larkspur.sources import full_text, json_tables
+from larkspur.streaming.views import materialized_view, merged
+from larkspur.table import TableFunction, table
+
+R = sqlite.round_
+
+
+@_query(
+    "q_strings",
+    r"""SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS as_text, CAST(strlen(p_name) AS BIGINT) AS bytes, CAST(length(p_name) AS BIGINT) AS chars, upper(p_name) AS up, lower(p_brand) AS low, CAST(instr(p_name, 'a') AS BIGINT) AS pos,
+    CAST(instr(lower(p_type), lower('E')) AS BIGINT) AS pos_i, left(p_name, 4) AS head, CASE WHEN instr(p_type, 'E') > 0 THEN substr(p_type, 1, instr(p_type, 'E') - 1) || 'xx' || substr(p_type, instr(p_type, 'E') + 1) ELSE p_type END AS replaced,
+    p_name || '/' || p_size AS joined, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, regexp_matches(p_type, '^[A-M]') AS early, hex(p_brand) AS hexed, substr(p_name, 2, 3) AS mid, trim(p_name, 'aeiou') AS bare, replace(p_name, 'e', '3') AS leet FROM part""",
+)
+def _strings(spark, s):
+    return from_(s.part).select(
+        lambda p: {
+            "p_partkey": p.p_partkey, "as_text": olap.to_string(p.p_partkey), "bytes": olap.length(p.p_name), "chars": pg.length(p.p_name), "up": olap.upper(p.p_name), "low": olap.lower(p.p_brand), "pos": olap.position(p.p_name, "a"),
+            "pos_i": olap.position_case_insensitive(p.p_type, "E"), "head": olap.left(p.p_name, 4), "replaced": olap.replace_one(p.p_type, "E", "xx"), "joined": olap.concat(p.p_name, "/", p.p_size), "digits": olap.extract(p.p_brand, "([0-9]+)"),
+            "early": pg.as_boolean(olap.match_cond(p.p_type, "^[A-M]")), "hexed": olap.hex(p.p_brand), "mid": sqlite.substr(p.p_name, 2, 3), "bare": sqlite.trim(p.p_name, "aeiou"), "leet": sqlite.replace(p.p_name, "e", "3"),
+        }
+    )
+
+
+@_query(
+    "q_urls",
+    r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(url, '\?[^#]*', '') AS cut FROM pages""",
+)
+def _urls(spark, s):
+    return from_(s.pages).select(lambda p: {"page_id": p.page_id, "host": olap.domain(p.url), "path": olap.path(p.url), "cut": olap.cut_query_string(p.url)})
+
+
+@_query(
+    "q_numeric",
+    """SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 100, 1) AS even, CAST(l_orderkey // 7 AS BIGINT) AS whole, least(l_quantity, 20.0) AS lo, greatest(l_discount, l_tax) AS hi, CAST(l_quantity AS BIGINT) AS q,
+    coalesce(TRY_CAST(l_returnflag AS DOUBLE), 0.0) AS zero, round(abs(l_discount - l_tax), 6) AS gap FROM lineitem""",
+)
+def _numeric(spark, s):
+    return from_(s.lineitem).select(
+        lambda l: {
+            "l_orderkey": l.l_orderkey, "l_linenumber": l.l_linenumber, "even": olap.round(l.l_extendedprice.div(100), 1), "whole": olap.int_div(l.l_orderkey, 7), "lo": olap.least(l.l_quantity, 20.0), "hi": olap.greatest(l.l_discount, l.l_tax),
+            "q": olap.to_int64(l.l_quantity), "zero": olap.to_float64_or_zero(l.l_returnflag), "gap": R(sqlite.abs(l.l_discount.sub(l.l_tax)), 6),
+        }
+    )
+
+
+@_query(
+    "q_dates",
+    """SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter, date_trunc('hour', ts) AS hour, date_trunc('minute', ts) AS minute, CAST(hour(ts) AS INTEGER) AS h, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, epoch_ns(ts) AS nanos,
+    ts + INTERVAL 90 SECOND AS later, ts - INTERVAL 1 HOUR AS earlier, strftime(ts, '%Y-%m-%d %H:%M') AS text, date_trunc('month', ts) AS month, strftime(ts, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS next_day, round(julian(ts), 5) AS jd FROM events""",
+)
+def _dates(spark, s):
+    return from_(s.events).select(
+        lambda e: {
+            "event_id": e.event_id, "quarter": olap.to_start_of_interval(e.ts, 900), "hour": olap.to_start_of_hour(e.ts), "minute": olap.to_start_of_minute(e.ts), "h": olap.to_hour(e.ts), "seconds": olap.to_unix_timestamp(e.ts), "nanos": olap.to_unix_timestamp64_nano(e.ts),
+            "later": olap.interval_add(e.ts, 90), "earlier": olap.interval_sub(e.ts, 3600), "text": olap.format_date_time(e.ts, "%Y-%m-%d %H:%M"), "month": pg.date_trunc("month", e.ts), "day": sqlite.date(e.ts), "next_day": sqlite.datetime(e.ts, "+1 day"),
+            "jd": R(sqlite.julianday(e.ts).add(0.5), 5),
+        }
+    )
+
+
+@_query(
+    "q_arrays",
+    """WITH a AS (SELECT event_id, [event_id % 5, event_id % 3, event_id % 5] AS xs FROM events) SELECT event_id, array_to_string(list_sort(xs), ',') AS up, array_to_string(list_reverse_sort(xs), ',') AS down, CASE WHEN xs[1] = xs[2] THEN xs[1]::VARCHAR ELSE xs[1] || ',' || xs[2] END AS uniq,
+    array_to_string(list_prepend(0, xs), ',') AS front, xs[2] AS second, 0::BIGINT AS ninth, list_contains(xs, 4) AS four, array_to_string(list_filter(xs, lambda x: x > 1), ',') AS big FROM a""",
+)
+def _arrays(spark, s):
+    inner = from_(s.events).select(lambda e: {"event_id": e.event_id, "xs": olap.array_of(e.event_id.mod(5), e.event_id.mod(3), e.event_id.mod(5))})
+    text = lambda x: olap.array_string_concat(x, ",")
+    return from_query(inner, "a").select(
+        lambda a: {
+            "event_id": a.event_id, "up": text(olap.array_sort(a.xs)), "down": text(olap.array_reverse_sort(a.xs)), "uniq": text(olap.array_distinct(a.xs)), "front": text(olap.array_push_front(a.xs, olap.to_int64(lit(0)))),
+            "second": olap.array_element(a.xs, 2), "ninth": olap.array_element(a.xs, 9), "four": pg.as_boolean(olap.has(a.xs, olap.to_int64(lit(4)))), "big": text(olap.array_filter("x -> x > 1", a.xs)),
+        }
+    )
+
+
+@_query("q_array_join", """SELECT doc_id, unnest(string_split(lang || ',' || source, ',')) AS part FROM documents""")
+def _array_join(spark, s):
+    return from_(s.documents).select(lambda d: {"doc_id": d.doc_id, "part": olap.array_join(olap.array_of(d.lang, d.source))})
+
+
+@_query("q_maps", """SELECT event_id, event_type AS got, '' AS missing, TRUE AS held, 'type,user' AS keys FROM events""")
+def _maps(spark, s):
+    inner = from_(s.events).select(lambda e: {"event_id": e.event_id, "m": olap.map_literal(("type", e.event_type), ("user", olap.to_string(e.user_id)))})
+    return from_query(inner, "a").select(lambda a: {"event_id": a.event_id, "got": a.m.get("type"), "missing": olap.map_get(a.m, "none"), "held": pg.as_boolean(olap.map_contains(a.m, "user")), "keys": olap.array_string_concat(olap.map_keys(a.m), ",")})
+
+
+@_query("q_json_props", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text, json_extract_string(props, '$.none') AS none FROM events""")
+def _json(spark, s):
+    from pyspark.sql import types as T
+
+    typed = replace(s.events, columns=s.events.columns | {"props": t.json(T.StructType([T.StructField("k", T.LongType())]))})
+    return from_(typed).select(lambda e: {"event_id": e.event_id, "k": pg.json_path(e.props, "k"), "k_text": pg.json_text_(e.props, "k"), "none": sqlite.json_extract(e.props, "$.none", t.text)})
+
+
+@_query("q_json_each", """SELECT event_id, e.key AS key, json_extract_string(props, '$.' || e.key) AS value FROM events, (SELECT 'k' AS key) e WHERE json_extract(props, '$.k') IS NOT NULL""")
+def _json_each(spark, s):
+    return from_(s.events, "e").inner_join(json_tables.json_each(_ref("e", "props")), "j", lambda e, j: None).select(lambda e: {"event_id": e.event_id, "key": e.j.key, "value": e.j.value})
+
+
+def _ref(alias, name):
+    from larkspur.expr import column
+
+    return column(alias, name, t.string)
+
+
+@_query("q_json_contains", """SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 7""")
+def _json_contains(spark, s):
+    return from_(s.events).select("event_id").where(lambda e: pg.json_contains(e.props, {"k": 7}))
+
+
+@_query("q_json_set", """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"seen":true}' AS changed FROM events""")
+def _json_set(spark, s):
+    return from_(s.events).select(lambda e: {"event_id": e.event_id, "changed": sqlite.json_set(e.props, "$.seen", True)})
+
+
+@_query(
+    "q_funnel",
+    """WITH v AS (SELECT user_id, ts AS t1 FROM events WHERE event_type = 'view'), c AS (SELECT v.user_id, v.t1, min(e.ts) AS t2 FROM v JOIN events e ON e.user_id = v.user_id AND e.event_type = 'click' AND e.ts > v.t1 AND e.ts <= v.t1 + INTERVAL 1 DAY GROUP BY ALL),
+    p AS (SELECT DISTINCT c.user_id FROM c JOIN events e ON e.user_id = c.user_id AND e.event_type = 'purchase' AND e.ts > c.t2 AND e.ts <= c.t1 + INTERVAL 1 DAY)
+    SELECT u.user_id, CAST(CASE WHEN u.user_id IN (SELECT user_id FROM p) THEN 3 WHEN u.user_id IN (SELECT user_id FROM c) THEN 2 WHEN u.user_id IN (SELECT user_id FROM v) THEN 1 ELSE 0 END AS SMALLINT) AS level FROM (SELECT DISTINCT user_id FROM events) u""",
+)
+def _funnel(spark, s):
+    return from_(s.events).select(lambda e: {"user_id": e.user_id, "level": olap.window_funnel(86_400, "strict_increase")(e.ts, e.event_type.eq("view"), e.event_type.eq("click"), e.event_type.eq("purchase"))}).group_by("user_id").cross_tenant()
+
+
+@_query(
+    "q_sequence",
+    """WITH o AS (SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'a' WHEN 'error' THEN 'b' ELSE 'c' END, '' ORDER BY ts, event_type) AS s FROM events WHERE event_type IN ('view', 'error', 'purchase') GROUP BY ALL)
+    SELECT user_id, CAST(regexp_matches(s, 'aab.*cc') AS SMALLINT) AS hit FROM o""",
+)
+def _sequence(spark, s):
+    return (
+        from_(s.events)
+        .select(lambda e: {"user_id": e.user_id, "hit": olap.sequence_match("(?1)(?1)(?2).*(?3)(?3)")(e.ts, e.event_type.eq("view"), e.event_type.eq("error"), e.event_type.eq("purchase"))})
+        .where(lambda e: e.event_type.in_(["view", "error", "purchase"]))
+        .group_by("user_id")
+        .cross_tenant()
+    )
+
+
+@_query(
+    "q_sequence_timed",
+    """WITH v AS (SELECT user_id, ts FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
+    SELECT u.user_id, CAST(EXISTS (SELECT 1 FROM v JOIN p ON v.user_id = p.user_id AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 60 SECOND AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = v.user_id AND x.event_type IN ('view', 'purchase') AND x.ts > v.ts AND x.ts < p.ts) WHERE v.user_id = u.user_id) AS SMALLINT) AS hit
+    FROM (SELECT DISTINCT user_id FROM events) u""",
+)
+def _sequence_timed(spark, s):
+    return from_(s.events).select(lambda e: {"user_id": e.user_id, "hit": olap.sequence_match("(?1)(?t<=60)(?2)")(e.ts, e.event_type.eq("view"), e.event_type.eq("purchase"))}).group_by("user_id").cross_tenant()
+
+
+@_query("q_has_token", r"""SELECT doc_id, list_contains(string_split_regex(text, '[^A-Za-z0-9\x{0080}-\x{FFFF}]+'), 'the') AS one, regexp_matches(text, '(?i)trash|idiot') AS bad FROM documents""")
+def _tokens(spark, s):
+    return from_(s.documents).select(lambda d: {"doc_id": d.doc_id, "one": pg.as_boolean(olap.has_token(d.text, "the")), "bad": pg.as_boolean(olap.multi_search_any_case_insensitive(d.text, ["trash", "idiot"]))})
+
+
+@_query("q_text_search", r"""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS ws FROM documents) SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'that') AND NOT list_contains(ws, 'which')""")
+def _text_search(spark, s):
+    return from_(s.documents).select("doc_id").where(lambda d: full_text.fts_match(d.text, "the AND that NOT which"))
+
+
+@_query("q_highlight", r"""SELECT item_id, regexp_replace(text, '(?i)\b(the)\b', '[\1]', 'g') AS marked FROM benchmark""")
+def _highlight(spark, s):
+    return from_(s.benchmark).select(lambda b: {"item_id": b.item_id, "marked": full_text.highlight(b.text, "the", "[", "]")})
+
+
+@_query("q_bm25")
+def _bm25(spark, s):
+    found = full_text.bm25(s.documents.source(spark), "tion* OR thing", ["text"], id_col="doc_id")
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@_query("q_snippet")
+def _snippet(spark, s):
+    return from_(s.documents).select(lambda d: {"doc_id": d.doc_id, "part": full_text.snippet(d.text, "the", "[", "]", n=8)}).where(lambda d: full_text.fts_match(d.text, "the"))
+
+
+@_query("q_mysql_set", """SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(lower(o_orderpriority)) AS lo, max(length(o_orderpriority))::BIGINT AS longest FROM orders GROUP BY ALL""")
+def _mysql(spark, s):
+    return from_(s.orders).select(lambda o: {"o_orderstatus": o.o_orderstatus, "n": mysql.count(), "customers": mysql.count_distinct(o.o_custkey), "lo": mysql.min_(mysql.lower(o.o_orderpriority)), "longest": mysql.max_(mysql.length(o.o_orderpriority))}).group_by("o_orderstatus").cross_tenant()
+
+
+@_query("q_json_group", """SELECT n_regionkey, '[' || string_agg('"' || n_name || '"', ',' ORDER BY n_name) || ']' AS names FROM nation GROUP BY ALL""")
+def _json_group(spark, s):
+    inner = from_(s.nation).select(lambda n: {"n_regionkey": n.n_regionkey, "names": sqlite.json_group_array(n.n_name, t.string)}).group_by("n_regionkey")
+    return from_query(inner, "g").select(lambda g: {"n_regionkey": g.n_regionkey, "names": olap.to_json_string(olap.array_sort(g.names))})
+
+
+@_query("q_keyset_page", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 250000 OR (o_totalprice = 250000 AND o_orderkey > 100) ORDER BY o_totalprice DESC, o_orderkey LIMIT 26""")
+def _page(spark, s):
+    return page_query(from_(s.orders).select("o_orderkey", "o_totalprice").cross_tenant(), [("o_totalprice", "desc"), ("o_orderkey", "asc")], [250000.0, 100], 25)
+
+
+@_query("q_missing_default", """SELECT c_custkey, coalesce(o_orderstatus, '') AS status, coalesce(o_totalprice, 0) AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000""")
+def _missing(spark, s):
+    q = from_(s.customer, "c").left_join(s.orders, "o", lambda c, o: [c.c_custkey.eq(o.o_custkey), o.o_totalprice.gt(250000)]).select(lambda c: {"c_custkey": c.c_custkey, "status": c.o.o_orderstatus, "price": c.o.o_totalprice})
+    return compile_query(q, spark, None, Semantics(missing_join="default")).df
+
+
+def _graph(s):
+    return Relations({"customer": {"orders": many(s.orders, "c_custkey", "o_custkey"), "nation": one(s.nation, "c_nationkey", "n_nationkey")}, "nation": {"region": one(s.region, "n_regionkey", "r_regionkey"), "customers": many(s.customer, "n_nationkey", "c_nationkey")}})
+
+
+@_query("q_relation_counts", """SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers_count, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def _relation_counts(spark, s):
+    found = _graph(s).find_many(spark, s.nation, Read(columns=("n_name",), counts=("customers",), with_={"region": Read()}))
+    return found.select("n_name", "customers_count", F.col("region.r_name").alias("r_name"))
+
+
+@_query("q_relation_nested", """SELECT c_custkey, n_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS n_orders, (SELECT arg_max(o_orderkey, o_totalprice * 1e7 + o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS first_order FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def _relation_nested(spark, s):
+    read = Read(columns=("c_custkey",), with_={"orders": Read(where=lambda o: o.o_totalprice.gt(200000), order_by=(("o_totalprice", "desc"), ("o_orderkey", "desc")), columns=("o_orderkey",)), "nation": Read(columns=("n_name",))})
+    found = _graph(s).find_many(spark, s.customer, read)
+    return found.select("c_custkey", F.col("nation.n_name").alias("n_name"), F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1))["o_orderkey"].alias("first_order"))
+
+
+@_query(
+    "q_relation_some_none_every",
+    """SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS some, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS none_open,
+    NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT (o_totalprice > 5000)) AS every_large, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS done FROM customer WHERE c_custkey % 2 = 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+)
+def _some_none(spark, s):
+    g = _graph(s)
+    parts = {"some": lambda r: r.some(lambda o: o.o_totalprice.gt(300000)), "none_open": lambda r: r.none(lambda o: o.o_orderstatus.eq("P")), "every_large": lambda r: r.every(lambda o: o.o_totalprice.gt(5000))}
+    base = from_(s.customer).select("c_custkey")
+    keyed = {n: compile_query(base.where(lambda c, make=make: make(g.of(s.customer, "orders"))), spark).df.withColumn(n, F.lit(True)) for n, make in parts.items()}
+    out = compile_query(from_(s.customer).select(lambda c: {"c_custkey": c.c_custkey, "done": g.of(s.customer, "orders").count(lambda o: o.o_orderstatus.eq("F"))}), spark).df
+    for n, df in keyed.items():
+        out = out.join(df, "c_custkey", "left").withColumn(n, F.coalesce(n, F.lit(False)))
+    return out.select("c_custkey", *parts, "done")
+
+
+def _scratch(spark, s, keep=lambda o: o.o_orderkey.mod(3).neq(0)):
+    """A writable copy of orders in a folder that the cluster shares."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    import uuid
+
+    store = Store(spark, f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}")
+    mine = table("stock", {"o_orderkey": t.int64, "o_orderstatus": t.string, "o_totalprice": t.float64, "note": t.nullable(t.string)}, primary_key=("o_orderkey",), defaults={"note": "new"})
+    insert_into(mine).select(from_(s.orders).select("o_orderkey", "o_orderstatus", "o_totalprice").where(keep)).run(store).unpersist()
+    return store, mine
+
+
+@_query("q_insert_select", """SELECT o_orderkey, o_orderstatus, o_totalprice, 'new' AS note FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT -1, 'X', 1.5, NULL UNION ALL SELECT -2, 'Y', 2.5, 'new'""")
+def _insert(spark, s):
+    store, mine = _scratch(spark, s)
+    insert_into(mine).values({"o_orderkey": -1, "o_orderstatus": "X", "o_totalprice": 1.5, "note": None}, {"o_orderkey": -2, "o_orderstatus": "Y", "o_totalprice": 2.5}).run(store).unpersist()
+    return store.frame(mine)
+
+
+@_query("q_upsert_nothing", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'new' ELSE 'late' END AS note FROM orders""")
+def _upsert_nothing(spark, s):
+    store, mine = _scratch(spark, s)
+    late = from_(s.orders).select(lambda o: {"o_orderkey": o.o_orderkey, "o_orderstatus": o.o_orderstatus, "o_totalprice": o.o_totalprice, "note": lit("late")})
+    insert_into(mine).select(late).on_conflict_do_nothing(["o_orderkey"]).run(store).unpersist()
+    return store.frame(mine).select("o_orderkey", "note")
+
+
+@_query("q_upsert_result", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' WHEN o_totalprice > 100000 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, round(CASE WHEN o_orderkey % 3 <> 0 AND o_totalprice > 100000 THEN o_totalprice + 1 ELSE o_totalprice END, 4) AS price FROM orders""")
+def _upsert(spark, s):
+    store, mine = _scratch(spark, s)
+    late = from_(s.orders).select(lambda o: {"o_orderkey": o.o_orderkey, "o_orderstatus": lit("Z"), "o_totalprice": o.o_totalprice})
+    up = insert_into(mine).select(late).on_conflict_do_update(["o_orderkey"], set=lambda old, new: {"o_totalprice": old.o_totalprice.add(1)} | excluded("o_orderstatus"), where=lambda old, new: old.o_totalprice.gt(100000))
+    up.run(store).unpersist()
+    return store.frame(mine).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 4).alias("price"))
+
+
+@_query("q_update_result", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'new' END AS note FROM orders WHERE o_orderkey % 3 <> 0""")
+def _update(spark, s):
+    store, mine = _scratch(spark, s)
+    update(mine).set({"note": "open"}).where(lambda r: r.o_orderstatus.eq("P")).run(store).unpersist()
+    return store.frame(mine).select("o_orderkey", "note")
+
+
+@_query("q_update_from", """SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN c_name ELSE 'new' END AS note FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0""")
+def _update_from(spark, s):
+    store, mine = _scratch(spark, s)
+    debts = from_(s.orders, "o").inner_join(s.customer, "c", lambda o, c: o.o_custkey.eq(c.c_custkey)).select(lambda o: {"key": o.o_orderkey, "name": o.c.c_name}).where(lambda o: o.c.c_acctbal.lt(0))
+    update(mine).from_(debts, "d").set(lambda r: {"note": r.d.name}).where(lambda r: r.o_orderkey.eq(r.d.key)).run(store).unpersist()
+    return store.frame(mine).select("o_orderkey", "note")
+
+
+@_query("q_delete_result", """SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND NOT (o_totalprice < 50000 AND o_orderstatus <> 'F')""")
+def _delete(spark, s):
+    store, mine = _scratch(spark, s)
+    delete_from(mine).where(lambda r: [r.o_totalprice.lt(50000), r.o_orderstatus.neq("F")]).run(store).unpersist()
+    return store.frame(mine).select("o_orderkey")
+
+
+@_query("q_view_incremental", """SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def _view(spark, s):
+    """Each third of the events is one insert; the view runs on each, its engine merges on reading."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    import uuid
+
+    store = Store(spark, f"{shared.rstrip('/')}/views-{uuid.uuid4().hex}")
+    to = table("daily", {"event_type": t.string, "day": t.date_time64, "n": t.int64, "total": t.float64}, engine="summing", order_by=("event_type", "day"))
+    body = from_(s.events).select(lambda e: {"event_type": e.event_type, "day": olap.to_start_of_interval(e.ts, 86_400), "n": olap.count(), "total": pg.sum(e.value)}).group_by("event_type", "day").cross_tenant()
+    view, events = materialized_view("daily_view", to, body), s.events.source(spark)
+    for k in range(3):
+        store.append(to, view.over(events.where(F.pmod("event_id", F.lit(3)) == k)))
+    return merged(store.frame(to), to).select("event_type", "day", "n", F.round("total", 4).alias("total"))
+
+
+@_query("q_view_streaming", """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def _view_streaming(spark, s):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    import uuid
+
+    home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    store = Store(spark, f"{home}/tables")
+    events = s.events.source(spark)
+    events.repartition(3).write.parquet(f"{home}/in")
+    to = table("kinds", {"event_type": t.string, "n": t.int64, "total": t.float64}, engine="summing", order_by=("event_type",))
+    body = from_(s.events).select(lambda e: {"event_type": e.event_type, "n": olap.count(), "total": pg.sum(e.value)}).group_by("event_type").cross_tenant()
+    materialized_view("kinds_view", to, body).start(store, f"{home}/in", f"{home}/state", once=True).awaitTermination()
+    return merged(store.frame(to), to).select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("q_tumbling_buckets", """SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bin, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL""")
+def _bins(spark, s):
+    return from_(s.events).select(lambda e: {"bin": pg.date_bin(21_600, e.ts), "n": olap.count(), "users": pg.count_distinct(e.user_id)}).group_by("bin").cross_tenant()
+
+
+@_query("q_table_function", """SELECT doc_id, unnest(string_split(lang || '-' || source, '-')) AS bit FROM documents""")
+def _table_function(spark, s):
+    bits = TableFunction("bits", {"bit": t.string}, olap.concat(_ref("d", "lang"), "-", _ref("d", "source")), lambda c: F.transform(F.split(c, "-"), lambda x: F.struct(x.alias("bit"))))
+    return from_(s.documents, "d").inner_join(bits, "b", lambda d, b: None).select(lambda d: {"doc_id": d.doc_id, "bit": d.b.bit})
+
+
+@_query("q_json_rows", """SELECT * FROM (VALUES (1::BIGINT, 'a', 0.5::DOUBLE), (2::BIGINT, 'b', NULL)) v(id, name, score)""")
+def _json_rows(spark, s):
+    rows = json_tables.json_rows('[{"id": 1, "name": "a", "score": 0.5}, {"id": 2, "name": "b"}]', {"id": t.int64, "name": t.string, "score": t.nullable(t.float64)})
+    return from_(rows, "r").select()
+
+
+@_query("q_embedding_norms", """SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS mean_square FROM embeddings GROUP BY ALL""")
+def _embeddings(spark, s):
+    norm = raw_expr("aggregate(embedding, 0D, (a, x) -> a + cast(x as double) * cast(x as double))", t.float64)
+    inner = from_(s.embeddings, "v").select(lambda v: {"label": v.label, "square": norm})
+    return from_query(inner, "q").select(lambda q: {"label": q.label, "n": olap.count(), "mean_square": R(olap.avg(q.square), 4)}).group_by("label")
+
+
+@_query("q_conversation_turns", """SELECT conv_id, count(*) AS turns, count_if(role = 'user')::BIGINT AS asked, arg_min(text, turn) AS first FROM conversations GROUP BY ALL""")
+def _conversations(spark, s):
+    return from_(s.conversations).select(lambda c: {"conv_id": c.conv_id, "turns": olap.count(), "asked": olap.count_if(c.role.eq("user")), "first": olap.arg_min(c.text, c.turn)}).group_by("conv_id")
+
+
+@_query("q_quality_join", """SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality, coalesce(sum(toxic), 0)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def _quality(spark, s):
+    return from_(s.documents, "d").inner_join(s.labels, "l", lambda d, l: d.doc_id.eq(l.doc_id)).select(lambda d: {"lang": d.lang, "n": olap.count(), "quality": R(olap.avg(d.l.quality), 6), "toxic": olap.sum(olap.to_int64(d.l.toxic))}).group_by("lang")
