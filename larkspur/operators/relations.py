@@ -112,7 +112,8 @@ class Relations:
         if read.limit is not None:
             q = q.limit(read.limit)
         df = lower(q, Context(spark, params or {}, resolve=resolve))
-        out = list(read.columns or table.columns)
+        # Names of relations may differ from columns by case alone; they get their own until the end.
+        out = [F.col(f"`{n}`") for n in (read.columns or table.columns)]
         for name, nested in read.with_.items():
             r = self._edge(table, name)
             nested = nested if isinstance(nested, Read) else Read()
@@ -120,17 +121,17 @@ class Relations:
             shown = list(nested.columns or r.target.columns) + list(nested.with_) + [f"{c}_count" for c in nested.counts]
             keys = [o if isinstance(o, tuple) else (o, "asc") for o in nested.order_by]
             place = F.row_number().over(_level(r.far, keys))
-            item = F.struct(place.alias("__at"), F.struct(*[F.col(f"`{c}`") for c in shown]).alias("row"))
+            item = F.struct(place.alias("__at"), F.struct(*[child[f"`{c}`"] for c in shown]).alias("row"))
             grouped = child.select(F.col(r.far).alias("__key"), item.alias("__item")).where(F.col("__key").isNotNull())
-            grouped = grouped.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["row"]).alias(name))
+            grouped = grouped.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["row"]).alias(f"__of_{name}"))
             df = df.join(grouped, df[r.near] == grouped["__key"], "left").drop("__key")
-            df = df.withColumn(name, F.try_element_at(name, F.lit(1)) if r.kind == "one" else F.coalesce(F.col(name), F.array().cast(grouped.schema[name].dataType)))
-            out.append(name)
+            found = F.col(f"__of_{name}")
+            out.append((F.try_element_at(found, F.lit(1)) if r.kind == "one" else F.coalesce(found, F.array().cast(grouped.schema[f"__of_{name}"].dataType))).alias(name))
         for name in read.counts:
             r = self._edge(table, name)
             counted = lower(from_(r.target, r.target.name).select(lambda x, r=r: {"__key": x[r.far], f"{name}_count": olap.count()}).group_by("__key"), Context(spark, params or {}, resolve=resolve))
             df = df.join(counted, df[r.near] == counted["__key"], "left").drop("__key").withColumn(f"{name}_count", F.coalesce(F.col(f"{name}_count"), F.lit(0)).cast("long"))
-            out.append(f"{name}_count")
+            out.append(F.col(f"{name}_count"))
         return df.select(*out)
 
 
