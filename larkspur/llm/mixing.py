@@ -29,6 +29,8 @@ from larkspur.llm.common import checkpointed, table
 
 DIMS = ("source", "lang", "topic")
 SWEEPS = 12
+#: Sweeps in one plan; the cells are written out between plans, so that no plan grows too deep.
+PLAN_SWEEPS = 6
 #: Exponents that temper each marginal's natural shares when no targets are given.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 BUDGET = 0.6
@@ -68,7 +70,9 @@ def rake(cells: DataFrame, dims=DIMS, targets: dict[str, dict[str, float]] | Non
         # A value's target is spread over its cells, so that the sum over cells is the sum over values.
         spread = F.col(f"__want_{d}") * F.when(share > 0, F.col("raked") / share).otherwise(0.0)
         out = out.withColumn(f"target_{d}", F.try_divide(F.col(f"__want_{d}"), F.sum(spread).over(whole)))
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        if k and k % PLAN_SWEEPS == 0:
+            out = checkpointed(out)
         for d in dims:
             out = out.withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), F.sum("raked").over(W.partitionBy(d))), F.lit(0.0)))
     return out.select(*names, "raked", *[f"target_{d}" for d in dims])
