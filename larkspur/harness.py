@@ -115,3 +115,38 @@ def compare_budgets(results: list[Result], budgets: dict[str, dict[str, float]])
 
 def as_json(results: list[Result]) -> list[dict]:
     return [asdict(r) | (r.stats() if r.wall_ms else {}) for r in results]
+
+
+def main(args: list[str] | None = None) -> int:
+    """python -m larkspur.harness run MODULE [--runs N] > FILE, or compare FILE FILE: MODULE has CASES."""
+    import argparse
+    import importlib
+    import json
+    import sys
+
+    parser = argparse.ArgumentParser(prog="larkspur.harness")
+    commands = parser.add_subparsers(dest="command", required=True)
+    run = commands.add_parser("run")
+    run.add_argument("module")
+    run.add_argument("--runs", type=int, default=20)
+    run.add_argument("--warmup", type=int, default=2)
+    run.add_argument("--timeout", type=float, default=30)
+    compare = commands.add_parser("compare")
+    compare.add_argument("before")
+    compare.add_argument("after")
+    compare.add_argument("--metric", default="p95_wall_ms")
+    compare.add_argument("--threshold", type=float, default=0.10)
+    compare.add_argument("--min-delta", type=float, default=0.0)
+    made = parser.parse_args(args)
+    if made.command == "run":
+        results = run_suite(SparkSession.builder.getOrCreate(), importlib.import_module(made.module).CASES, made.runs, made.warmup, made.timeout)
+        json.dump(as_json(results), sys.stdout, indent=1)
+        return INVALID if any(r.error for r in results) else PASS
+    load = lambda path: [Result(**{k: r[k] for k in ("id", "wall_ms", "rows", "result_hash", "fingerprint", "error")}) for r in json.load(open(path))]
+    found = compare_runs(load(made.before), load(made.after), made.metric, made.threshold, made.min_delta)
+    json.dump(found, sys.stdout, indent=1)
+    return found["exit_code"]
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -90,6 +90,8 @@ class Insert:
     def tenant_scope(self) -> str:
         if not self.table.tenant:
             return tenant.NONE
+        if self.conflict == "update" and self.table.tenant not in self.target:
+            return tenant.CROSS  # the row that it meets may be another tenant's
         if self.query is not None:
             return tenant.scope_of(self.query)
         found = {r.get(self.table.tenant) for r in self.rows}

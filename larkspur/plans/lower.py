@@ -94,6 +94,10 @@ class CompiledQuery:
     def row_schema_source(self) -> str:
         return "none" if self.untyped_columns else "derived"
 
+    def json_lines(self) -> DataFrame:
+        """The rows as JSON texts, one a row: what a format of JSON lines writes."""
+        return self.df.select(F.to_json(F.struct(*[F.col(f"`{n}`") for n in self.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
     def decode_rows(self, rows: list) -> list[dict]:
         return [self._decode(k, r) for k, r in enumerate(rows)]
 
@@ -121,6 +125,13 @@ def compile_query(q: Query | Union, spark: SparkSession, params: dict[str, Any]
     return CompiledQuery(df, output_types(q) if isinstance(q, Query) else {n: _common([b.outputs()[n].type for b in q.branches]) for n in outputs}, tenant.scope_of(q), q.route_name, q.format_name)
 
 
+def raw_compiled_query(spark: SparkSession, sql: str, columns: dict[str, ColType | None], reason: str, tenant_scope: str = "cross-tenant", params: dict[str, Any] | None = None) -> CompiledQuery:
+    """Handwritten SQL with a declared row schema. The reason is part of the record, and is asked for."""
+    if not reason.strip():
+        raise QueryBuilderDefect("handwritten SQL states its reason")
+    return CompiledQuery(spark.sql(sql, args=params or {}), columns, tenant_scope, kind=f"raw: {reason}")
+
+
 def output_types(q: Query) -> dict[str, ColType | None]:
     """Types of the selected columns; a left join makes its columns nullable unless a filter before select keeps nulls out."""
     loose = {s.alias for s in q.joins if s.kind == "left"}

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.errors import CardinalityError, ConflictError, TenantScopeError
+from larkspur.errors import CardinalityError, ConflictError, QueryBuilderDefect, TenantScopeError
 from larkspur.operators.paginate import Page, paginate
 from larkspur.operators.relations import Read, Relations, find_all_by
 from larkspur.operators.store import Store
@@ -139,8 +139,10 @@ class Session:
         """All or nothing."""
         return self.transaction(lambda: [self.execute(w) for w in writes])
 
-    def transaction(self, work: Callable[[], Any], retries: int = 3, wait: float = 0.05) -> Any:
+    def transaction(self, work: Callable[[], Any], retries: int = 3, wait: float = 0.05, isolation: str | None = None, access: str | None = None) -> Any:
         """Nested calls are savepoints. A conflict is tried again, with growing waits."""
+        if isolation is not None or access is not None:
+            raise QueryBuilderDefect("files have no isolation levels or access modes")
         nested = self._after is not None
         for attempt in range(1 if nested else retries + 1):
             self._after = self._after if nested else []

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.errors import InvalidArguments
+from larkspur import types
+from larkspur.errors import InvalidArguments, QueryBuilderDefect
 from larkspur.expr import Condition, Expr, call, condition
+from larkspur.table import TableDef
 
 K1, B = 1.2, 0.75
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -173,6 +176,38 @@ def bm25(docs: DataFrame, query: str, text_cols: list[str], weights: list[float]
     return held.where("hit").select("id", score.alias("rank"))
 
 
+@dataclass(frozen=True)
+class FullTextTable:
+    """A table searched over several text columns at once."""
+
+    table: TableDef
+    columns: tuple[str, ...]
+
+    def _all(self, row: Any) -> Expr:
+        parts = [row[c] for c in self.columns]
+        return call("text", tuple(parts), lambda *cs: F.concat_ws("\n", *cs), types.string)
+
+    def match(self, row: Any, query: str) -> Condition:
+        """Whether the row's text columns together satisfy the query."""
+        return fts_match(self._all(row), query)
+
+    def highlight(self, row: Any, column: str, query: str, start: str = "<b>", end: str = "</b>") -> Expr:
+        return highlight(row[column], query, start, end)
+
+    def snippet(self, row: Any, column: str, query: str, **options: Any) -> Expr:
+        return snippet(row[column], query, **options)
+
+    def ranked(self, df: DataFrame, query: str, weights: list[float] | None = None, id_col: str = "id") -> DataFrame:
+        return bm25(df, query, list(self.columns), weights, id_col)
+
+
+def full_text_table(table: TableDef, *columns: str) -> FullTextTable:
+    unknown = [c for c in columns if c not in table.columns]
+    if unknown or not columns:
+        raise QueryBuilderDefect(f"{table.name} has no text column {unknown[:1] or ''}")
+    return FullTextTable(table, columns)
+
+
 def _phrase_count(t: Term, words: Column) -> Column:
     n = len(t.words)
     wanted = F.array(*[F.lit(w) for w in t.words])

@@ -412,3 +412,28 @@ def test_random_filters(spark, rows, trees):
 def test_grouped_values_follow_a_model(spark, db):
     q = from_(db.orders, "o").select(lambda o: {"org": o.OrgId, "n": olap.count(), "s": olap.sum(o.Amount), "a": sqlite.round_(olap.avg(o.Amount), 4)}).group_by("org").order_by("org").cross_tenant()
     assert [tuple(r.values()) for r in run(spark, q)] == [("org_1", 4, 42, 10.5), ("org_2", 1, 99, 99.0)]
+
+
+def test_full_text_table_and_raw_queries(spark, db):
+    docs = frame_table("d", spark.createDataFrame([(1, "red fox", "a dog"), (2, "blue", None)], "id int, head string, body string"), {"id": t.int32, "head": t.string, "body": t.nullable(t.string)})
+    fts = full_text.full_text_table(docs, "head", "body")
+    assert run(spark, from_(docs).select(lambda d: {"id": d.id, "h": fts.highlight(d, "body", "dog", "[", "]")}).where(lambda d: fts.match(d, "fox dog"))) == [{"id": 1, "h": "a [dog]"}]
+    assert [r["id"] for r in fts.ranked(docs.source(spark), "blue", [2.0, 1.0]).collect()] == [2]
+    with pytest.raises(QueryBuilderDefect):
+        full_text.full_text_table(docs, "none")
+    lines = compile_query(from_(db.orders, "o").select("Id", "Note").where(lambda o: o.Id.lt(3)).order_by("Id").format("JSONEachRow"), spark)
+    assert lines.format == "JSONEachRow" and [r["value"] for r in lines.json_lines().collect()] == ['{"Id":1,"Note":"rush"}', '{"Id":2,"Note":null}']
+    from larkspur.plans.lower import raw_compiled_query
+
+    raw = raw_compiled_query(spark, "SELECT :a AS a", {"a": t.int32}, "a test", params={"a": 1})
+    assert raw.decode_rows(raw.df.collect()) == [{"a": 1}]
+    with pytest.raises(QueryBuilderDefect):
+        raw_compiled_query(spark, "SELECT 1", {}, " ")
+
+
+def test_upserts_prove_their_tenant():
+    own = table("own", {"Id": t.int32, "Org": t.string}, tenant="Org")
+    row = insert_into(own).values({"Id": 1, "Org": "a"})
+    assert row.on_conflict_do_update(["Id"], set={"Id": 1}).tenant_scope() == "cross-tenant" and row.on_conflict_do_update(["Id", "Org"], set={"Id": 1}).tenant_scope() == "single-tenant"
+    with pytest.raises(QueryBuilderDefect):
+        Session(None).transaction(lambda: None, isolation="serializable")
