@@ -17,10 +17,13 @@ is 'unvalidated'; else 'resolved'. Empty tables give empty results; extra column
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import io
 import re
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,6 +136,36 @@ def _fields(stream) -> dict[str, str]:
     return out
 
 
+RECORD = "record_id long, url string, date timestamp_ntz, kind string, headers map<string,string>, body binary"
+
+
+def records_of_files(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """The records of WARC files given as bytes (Spark's binaryFile source), ready for ``resolve``.
+
+    A file is one task's work, as it is one gzip stream. record_id is a hash of WARC-Record-ID; a
+    date that is no ISO date is null; null files give no rows.
+    """
+    names = ["record_id", "url", "date", "kind", "headers", "body"]
+    kinds = [pa.int64(), pa.string(), pa.timestamp("us"), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def rows(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                found = []
+                for k, r in enumerate(read_warc(data or b"")):
+                    f = r["fields"]
+                    h = xxhash.xxh3_64_intdigest(f.get("warc-record-id", f"{len(data)}#{k}"))
+                    try:
+                        date = dt.datetime.fromisoformat(f.get("warc-date", "").replace("Z", "+00:00")).astimezone(dt.UTC).replace(tzinfo=None)
+                    except ValueError:
+                        date = None
+                    found.append((h - (1 << 64) if h >> 63 else h, f.get("warc-target-uri"), date, r["kind"], list(r["headers"].items()), r["body"]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    return files.select(content_col).mapInArrow(rows, RECORD)
+
+
 def page_records(pages: DataFrame) -> DataFrame:
     """Crawl records from raw pages: each is fetched once in full and visited again later.
 

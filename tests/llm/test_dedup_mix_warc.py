@@ -140,6 +140,16 @@ def test_warc_files_round_trip():
     assert warc.read_warc(b"") == [] and warc.read_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc") == []
 
 
+def test_files_resolve(spark):
+    http = lambda status, tag: f"HTTP/1.1 {status}\r\nETag: {tag}\r\n\r\n".encode()
+    fields = lambda k, s: {"WARC-Record-ID": f"<urn:{k}>", "WARC-Target-URI": "http://a/x", "WARC-Date": f"2024-01-01T00:00:0{s}Z", "Content-Type": "application/http"}
+    data = warc.write_record("response", fields(1, 1), http(200, '"1"') + b"body") + warc.write_record("revisit", fields(2, 5), http(304, '"1"'))
+    made = warc.records_of_files(spark.createDataFrame([(data,), (None,), (b"junk",)], "content binary"))
+    assert sorted((r["kind"], bytes(r["body"])) for r in made.collect()) == [("response", b"body"), ("revisit", b"")]
+    got = warc.resolve(made).collect()
+    assert [(r["status"], r["age_s"]) for r in got] == [("resolved", 4)]
+
+
 @pytest.mark.parametrize("op", [exact_dedup, mixing, warc])
 def test_sql_gives_the_same_rows(spark, op):
     sf = "/root/testdata/sf0.001"
