@@ -250,8 +250,8 @@ def candidates(members: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of the buckets' members (band, hash, rep, sig)."""
     found, chunk = [], CHUNK
     while True:
-        sizes = members.groupBy("band", "hash").agg(F.count("*").alias("n"))
-        dealt = members.join(sizes.where(F.col("n") > chunk), ["band", "hash"], "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("int"))
+        sizes = checkpointed(members.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
+        dealt = members.join(sizes, ["band", "hash"], "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("int"))
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(len(found))), F.col("chunks")).cast("int"))
         dealt = dealt.repartition("band", "hash", "chunk").sortWithinPartitions("band", "hash", "chunk", "rep")
 
@@ -377,7 +377,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = checkpointed(texts)
     reps = seen.join(texts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).where("n_words > 0")
     bands = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
-    shared = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
+    # Written out, so that the join's sides are plain exchanges and a bucket of many texts can be split.
+    shared = checkpointed(bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash"))
     members = bands.join(shared, ["band", "hash"], "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep")
     pairs = checkpointed(candidates(checkpointed(members.select("band", "hash", "rep", "sig"))))
     links = verified(named, pairs, idf, similarity)
