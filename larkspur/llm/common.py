@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 8 << 20
 #: Rows of an Arrow batch between the JVM and Python. Texts of a few KB then take a few MB.
 BATCH_ROWS = 1024
+#: Ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is not in gone's column __gone.
+
+    Few ids are broadcast, so that no text moves; their number is counted first, and more than
+    ``BROADCAST_IDS`` meet the documents in a shuffled join.
+    """
+    gone = checkpointed(gone.where("__gone IS NOT NULL").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each take about step_bytes; null texts become empty ones."""
     for batch in batches:

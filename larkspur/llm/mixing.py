@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, table
+from larkspur.llm.common import checkpointed, table, without
 
 DIMS = ("source", "lang", "topic")
 SWEEPS = 12
@@ -56,9 +56,10 @@ def token_weight(text: Column) -> Column:
 
 def rake(cells: DataFrame, dims=DIMS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """Add raked (shares that sum to 1) and per-dimension target shares to cells of (dims, tokens)."""
-    w, names = F.col("tokens").cast("double"), list(cells.columns)
-    whole = W.partitionBy(F.lit(1))
-    out = cells.withColumn("raked", w / F.sum(w).over(whole))
+    names = list(cells.columns)
+    total = cells.agg(F.sum(F.col("tokens").cast("double"))).first()[0] or 1.0
+    out = cells.withColumn("raked", F.col("tokens").cast("double") / F.lit(total))
+    spread = {}
     for d in dims:
         share = F.sum("raked").over(W.partitionBy(d))
         if targets and d in targets:
@@ -66,10 +67,15 @@ def rake(cells: DataFrame, dims=DIMS, targets: dict[str, dict[str, float]] | Non
             want = F.coalesce(F.try_element_at(given, F.col(d)), F.lit(0.0))
         else:
             want = F.pow(share, F.lit(TEMPER.get(d, 1.0)))
-        out = out.withColumn(f"__want_{d}", F.when(share > 0, want).otherwise(0.0))
+        out = out.withColumn(f"target_{d}", F.when(share > 0, want).otherwise(0.0))
         # A value's target is spread over its cells, so that the sum over cells is the sum over values.
-        spread = F.col(f"__want_{d}") * F.when(share > 0, F.col("raked") / share).otherwise(0.0)
-        out = out.withColumn(f"target_{d}", F.try_divide(F.col(f"__want_{d}"), F.sum(spread).over(whole)))
+        out = out.withColumn(f"__spread_{d}", F.col(f"target_{d}") * F.when(share > 0, F.col("raked") / share).otherwise(0.0))
+        spread[d] = F.sum(f"__spread_{d}").alias(d)
+    # Sums over everything are single numbers; nothing is gathered in one task for them.
+    out = checkpointed(out)
+    sums = out.agg(*spread.values()).first()
+    for d in dims:
+        out = out.withColumn(f"target_{d}", F.try_divide(F.col(f"target_{d}"), F.lit(sums[d] or 0.0)))
     for k in range(sweeps):
         if k and k % PLAN_SWEEPS == 0:
             out = checkpointed(out)
@@ -94,7 +100,8 @@ def mix(docs: DataFrame, dims=DIMS, targets=None, budget: float = BUDGET, sweeps
     seen = checkpointed(seen)
     cells = checkpointed(seen.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, dims, targets, sweeps)
-    share = F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(1)))
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    share = F.col("tokens") / F.lit(total)
     rates = raked.select(*dims, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(budget)) * F.try_divide(F.col("raked"), share))).otherwise(1.0).alias("probability"))
     rates = checkpointed(rates)
     if rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
@@ -105,8 +112,8 @@ def mix(docs: DataFrame, dims=DIMS, targets=None, budget: float = BUDGET, sweeps
 
 def sample_mix(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, in their own columns."""
-    gone = mix(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == gone["__gone"], "left_anti")
+    gone = mix(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return without(docs, gone, options.get("id_col", "doc_id"))
 
 
 QUERY = "op4_mix_sources"

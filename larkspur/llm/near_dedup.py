@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, small_batches, steps, table
+from larkspur.llm.common import BROADCAST_IDS, checkpointed, small_batches, steps, table, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,8 +48,6 @@ SMALL = 24
 BEST = 3
 CHUNK = 512
 DRAW_BITS = 16
-#: Ids of candidates are broadcast up to this number (8 bytes each), joined by a shuffle beyond it.
-BROADCAST_IDS = 1_000_000
 REMEMBER = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -183,19 +181,19 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         parts = held.reshape(blocks, width)
         some = [k for k in range(blocks) if parts[k].any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].astype(np.int32).tobytes() for k in some], pa.binary())], names=["block", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(raw, np.int64)
+                held[k] = held.get(k, 0) + np.frombuffer(raw, np.int32 if len(raw) == 4 * width else np.int64).astype(np.int64)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "counts"])
 
     parts = docs.mapInArrow(count, "block int, counts binary")
-    # Sums by tasks first, then of those: neither step gathers more than a share of the partitions.
-    parts = parts.repartition(32).mapInArrow(add, "block int, counts binary")
+    # Sums of about the square root of the partitions first, then of those: no task gathers them all.
+    parts = parts.repartition(max(8, math.isqrt(docs.rdd.getNumPartitions()))).mapInArrow(add, "block int, counts binary")
     parts = parts.repartition(4, "block").mapInArrow(add, "block int, counts binary")
     out = np.zeros((blocks, width), np.int64)
     for row in parts.toLocalIterator():
@@ -392,8 +390,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, in the documents' own columns."""
-    gone = near_classes(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == gone["__gone"], "left_anti")
+    gone = near_classes(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return without(docs, gone, options.get("id_col", "doc_id"))
 
 
 QUERY = "op5_near_dedup"
