@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import types as t
 from larkspur.errors import InvalidArguments
-from larkspur.expr import Condition, Expr, call, lift
+from larkspur.expr import Expr, call, lift
 from larkspur.functions import json_text, olap, pg, window
 from larkspur.functions.registry import agg, first_typed, null, register, type_of
 from larkspur.types import ColType

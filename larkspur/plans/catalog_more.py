@@ -184,7 +184,14 @@ def _highlight(spark, s):
     return from_(s.benchmark).select(lambda b: {"item_id": b.item_id, "marked": full_text.highlight(b.text, "the", "[", "]")})
 
 
-@_query("q_bm25")
+@_query(
+    "q_bm25",
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+    c AS (SELECT doc_id, len(ws) AS size, len(list_filter(ws, lambda x: starts_with(x, 'tion'))) AS t0, len(list_filter(ws, lambda x: x = 'thing')) AS t1 FROM w),
+    s AS (SELECT count(*) AS n, avg(size) AS mean, count_if(t0 > 0) AS d0, count_if(t1 > 0) AS d1 FROM c)
+    SELECT doc_id, round(-greatest(1e-6, ln((n - d0 + 0.5) / (d0 + 0.5))) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * size / mean)) - greatest(1e-6, ln((n - d1 + 0.5) / (d1 + 0.5))) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS rank
+    FROM c, s WHERE t0 > 0 OR t1 > 0""",
+)
 def _bm25(spark, s):
     found = full_text.bm25(s.documents.source(spark), "tion* OR thing", ["text"], id_col="doc_id")
     return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))

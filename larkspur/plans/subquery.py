@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from larkspur import types as t
 from larkspur.errors import QueryBuilderDefect
 from larkspur.expr import Condition, Expr
-from larkspur.plans.lower import Context, lower
+from larkspur.plans.lower import Context, _sources, lower
 from larkspur.plans.query import Query, Union
 from larkspur.types import ColType
 
@@ -29,13 +30,8 @@ def scalar(q: Query) -> Expr:
     if e.agg and not q.groups and not q.havings:
         # Spark resolves outer references below a select of aggregates, not below a grouping.
         def build(ctx: Context) -> Column:
-            from dataclasses import replace
-            from functools import reduce
-
             inner = Context(ctx.spark, ctx.params, ctx.ctes, ctx.semantics, ctx.resolve)
-            from larkspur.plans import lower as low
-
-            df = low._sources(q, inner)
+            df = _sources(q, inner)
             filters = [c.build(inner) for c in q.filters()]
             if filters:
                 df = df.where(reduce(lambda a, b: a & b, filters))
