@@ -34,8 +34,8 @@ MIN_DOCS = 4
 SCREEN = 4.5
 PREFIX = 4
 FACTORS = 8
-EPOCHS = 12
-RATE = 0.15
+EPOCHS = 30
+RATE = 0.3
 L2 = 2e-5
 #: Words that a worker remembers; it forgets them all when there are more.
 REMEMBER = 300_000
