@@ -236,12 +236,10 @@ def _sources(q: Query, ctx: Context) -> DataFrame:
 def _lateral(df: DataFrame, s: Source, ctx: Context) -> DataFrame:
     """A table function over columns of earlier sources: its rows multiply theirs."""
     rows = s.of.rows(s.of.argument.build(ctx))
-    names = list(s.of.columns)
-    held = [c for c in df.columns]
     exploded = F.explode_outer(rows) if s.kind == "left" else F.explode(rows)
-    out = df.select("*", exploded.alias("__row"))
-    # The new columns get the source's alias through a struct of its name.
-    return out.select(*[F.col(c) if held.count(c) == 1 else F.col(c) for c in ["*"]], F.struct(*[F.col("__row").getField(n).alias(n) for n in names]).alias(s.alias)).drop("__row")
+    # A struct named like the source makes `alias`.`column` the way to its fields.
+    fields = F.struct(*[F.col("__row").getField(n).alias(n) for n in s.of.columns])
+    return df.select("*", exploded.alias("__row")).withColumn(s.alias, fields).drop("__row")
 
 
 def _grouped(q: Query, ctx: Context, df: DataFrame, outputs: dict[str, Expr], havings: list[Condition], hidden: dict[str, Expr]) -> DataFrame:
