@@ -311,7 +311,7 @@ def verified(docs: DataFrame, pairs: DataFrame, idf, similarity: float = SIMILAR
         for batch in batches:
             for step in steps([batch], step_bytes=STEP_BYTES):
                 text, shingle, tf, _, _ = shingles(step.column(1).to_pylist(), words)
-                level = levels(shingle, tf, idf.value).astype(np.uint8)
+                level = np.minimum(levels(shingle, tf, idf.value), 255).astype(np.uint8)
                 cuts = np.searchsorted(text, np.arange(step.num_rows + 1))
                 found = []
                 for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905
