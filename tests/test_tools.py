@@ -168,3 +168,16 @@ def test_entry_contract(spark):
 def test_plans_push_down(spark):
     plan = harness.explain(entry.queries()["q_bucket_events"](spark, "/root/testdata/sf0.001"))
     assert "In(event_type, [click,purchase,view])" in plan and "event_id" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_command_line(tmp_path, monkeypatch, capsys):
+    from larkspur import kit
+
+    (tmp_path / "models_for_kit.py").write_text("from larkspur import types as t\nfrom larkspur.table import table\nTABLES = [table('a', {'id': t.int64})]\nMIGRATIONS = []\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert kit.main(["generate", "models_for_kit"]) == 0 and "CREATE TABLE `a`" in capsys.readouterr().out
+    assert kit.main(["check", "models_for_kit"]) == 1
+    import models_for_kit
+
+    (tmp_path / "snapshot.json").write_text(schema.canonical(schema.snapshot(models_for_kit.TABLES)))
+    assert kit.main(["check", "models_for_kit", "--snapshot", str(tmp_path / "snapshot.json")]) == 0
