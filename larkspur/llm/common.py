@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -39,6 +40,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_state: dict = {}
+
+
+def worker_state(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks. It has one place: another key's state makes way, so
+    that the operators of a pipeline do not add up in a worker's memory."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not in gone's column __gone.
 

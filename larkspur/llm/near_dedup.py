@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BROADCAST_IDS, checkpointed, small_batches, steps, table, without
+from larkspur.llm.common import BROADCAST_IDS, checkpointed, small_batches, steps, table, without, worker_state
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -159,13 +159,8 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_held: dict = {}
-
-
 def sampler() -> Sampler:
-    if "sampler" not in _held:
-        _held["sampler"] = Sampler()
-    return _held["sampler"]
+    return worker_state("sampler", Sampler)
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:

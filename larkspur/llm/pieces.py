@@ -29,13 +29,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from larkspur.llm.common import small_batches, steps, table
+from larkspur.llm.common import small_batches, steps, table, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONG = 48
-REMEMBER = 700_000
-STEP_BYTES = 4 << 20
+REMEMBER = 300_000
+STEP_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -58,6 +58,8 @@ class Vocabulary:
             raise ValueError("a piece with a blank behind another character is not read")
         self.longest = max(len(self.pieces[k]) for k in self.normal)
         alphabet = sorted(set("".join(self.pieces[k] for k in self.normal)))
+        if self.longest > 31:
+            raise ValueError("a piece of over 31 characters is not read")
         self.code = np.zeros(0x110000, np.uint16)
         self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         self.chars = np.zeros((len(self.normal), self.longest), np.uint16)
@@ -138,10 +140,10 @@ def lattice(vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = occurrences(keys, rows, sizes, bits)
     n = np.maximum(hi - lo, 0)
     at = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    edges = (at.astype(np.int64) << 21) | (np.repeat(sizes, n) << 16) | np.repeat(ids, n)
+    edges = (at.astype(np.int64) << 29) | (np.repeat(sizes, n) << 24) | np.repeat(ids, n)
     edges.sort()
-    out = np.full((len(chars), vocabulary.longest), -1, np.int32)
-    out[edges >> 21, (edges >> 16 & 31) - 1] = edges & 0xFFFF
+    out = np.full((len(chars), vocabulary.longest), -1, np.int16 if len(vocabulary.pieces) < 1 << 15 else np.int32)
+    out[edges >> 29, (edges >> 24 & 31) - 1] = edges & 0xFFFFFF
     return out, chars
 
 
@@ -271,16 +273,9 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-_held: dict = {}
-
-
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """The worker's encoder, kept between tasks of the same vocabulary."""
-    key = hash((len(vocabulary.pieces), vocabulary.pieces[-1], vocabulary.pieces[len(vocabulary.pieces) // 2]))
-    if key not in _held:
-        _held.clear()
-        _held[key] = Encoder(vocabulary)
-    return _held[key]
+    return worker_state(("pieces", len(vocabulary.pieces), vocabulary.pieces[-1], vocabulary.pieces[len(vocabulary.pieces) // 2]), lambda: Encoder(vocabulary))
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
