@@ -9,11 +9,14 @@
 3. A second pass takes ``HASHES`` samples per text. Texts of the same words are one from here on.
    Bands of ``ROWS`` samples are the buckets.
 4. Within a bucket the samples give an estimate for each pair; estimates of at least ``ESTIMATE``
-   become candidates: all of them in buckets of up to ``SMALL`` texts, and a maximum spanning tree
-   with each text's ``BEST`` partners in larger ones. Buckets over ``CHUNK`` texts are dealt out
-   in chunks, whose clusters then meet, one text each, on the next level.
+   become candidates. In buckets of up to ``SMALL`` texts all of them do at once. In larger ones a
+   maximum spanning tree with each text's ``BEST`` partners goes first; buckets over ``CHUNK``
+   texts are dealt out in chunks, whose clusters then meet, one text each, on the next level.
 5. Candidates are verified by the exact weighted Jaccard similarity, ``SIMILARITY`` or more.
 6. Links form classes by alternating stars; a class has the least id of its documents as its id.
+7. In larger buckets every pair of texts that are still in different classes is then estimated,
+   and all with ``ESTIMATE`` or more are verified too. Pairs inside a class cannot change it, so
+   the classes are those of all pairs of all buckets, whatever step 4 picked first.
 
 Only the hashed counts (1 MB) come to the driver. Texts are not shuffled, but for the shingles
 of candidates.
@@ -47,6 +50,8 @@ ESTIMATE = 0.55
 SMALL = 24
 BEST = 3
 CHUNK = 512
+#: Texts of a side of a block of a bucket's pairs.
+BLOCK = 1024
 DRAW_BITS = 16
 REMEMBER = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -249,8 +254,6 @@ def candidates(members: DataFrame) -> DataFrame:
         dealt = dealt.repartition("band", "hash", "chunk").sortWithinPartitions("band", "hash", "chunk", "rep")
 
         def work(batches):
-            held = None
-
             def close(part):
                 key = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], axis=1)
                 edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
@@ -270,19 +273,7 @@ def candidates(members: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "band", "hash", "sig"])
 
-            for batch in batches:
-                part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                part = part.combine_chunks()
-                key = [part.column(k).to_numpy() for k in (0, 1, 2)]
-                same = np.ones(part.num_rows, bool)
-                for k in key:
-                    same &= k == k[-1]
-                cut = int(np.argmax(same))  # the last group may go on in the next batch
-                if cut:
-                    yield from close(part.slice(0, cut).combine_chunks())
-                held = part.slice(cut)
-            if held is not None and held.num_rows:
-                yield from close(held.combine_chunks())
+            yield from by_groups(batches, 3, close)
 
         out = checkpointed(dealt.select("band", "hash", "chunk", "rep", "sig", "chunks").mapInArrow(work, "a long, b long, band int, hash long, sig binary"))
         found.append(out.where("b IS NOT NULL").select("a", "b"))
@@ -296,6 +287,70 @@ def candidates(members: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) with an estimate of ``ESTIMATE`` or more, of texts of different classes that share a bucket of over ``SMALL`` texts.
+
+    A bucket's texts outside its most frequent class meet all of its texts, in blocks of at most about ``BLOCK`` by ``BLOCK``.
+    """
+    large = checkpointed(members.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
+    held = members.join(large, ["band", "hash"]).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    held = checkpointed(held.select("band", "hash", "n", "rep", "root", "sig"))
+    parts = held.groupBy("band", "hash", "root").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    most = parts.groupBy("band", "hash").agg(F.max(F.struct("c", "root")).alias("m"), F.first("n").alias("n"))
+    most = checkpointed(most.where(F.col("m.c") < F.col("n")).select("band", "hash", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.c")) / F.lit(BLOCK)).cast("int").alias("left_blocks"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("right_blocks")))
+    held = held.join(most, ["band", "hash"])
+
+    def place(blocks: str, salt: int):
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(blocks)).cast("int")
+
+    def to_all(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    columns = ("band", "hash", "i", "j", "side", "rep", "root", "sig")
+    left = held.where("root <> main").withColumn("i", place("left_blocks", 1)).withColumn("j", to_all("right_blocks")).withColumn("side", F.lit(0)).select(*columns)
+    right = held.withColumn("j", place("right_blocks", 2)).withColumn("i", to_all("left_blocks")).withColumn("side", F.lit(1)).select(*columns)
+    dealt = left.unionByName(right).repartition("band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "side")
+
+    def close(part):
+        key = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        side, rep, root = (part.column(k).to_numpy() for k in (4, 5, 6))
+        sig = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(len(key), HASHES)
+        for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            columns = np.ascontiguousarray(sig[mid:hi].T)
+            for k in range(lo, mid):
+                alike = np.zeros(hi - mid, np.uint8)
+                for h in range(HASHES):
+                    alike += columns[h] == sig[k, h]
+                other = mid + np.flatnonzero((alike >= ESTIMATE * HASHES) & (root[mid:hi] != root[k]))
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[other])), pa.array(np.maximum(rep[k], rep[other]))], names=["a", "b"])
+
+    def work(batches):
+        yield from by_groups(batches, 4, close)
+
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def by_groups(batches, keys: int, close):
+    """What ``close`` yields of tables that hold whole groups of equal leading ``keys`` columns; the rows are sorted by them."""
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        part = part.combine_chunks()
+        same = np.ones(part.num_rows, bool)
+        for k in range(keys):
+            key = part.column(k).to_numpy()
+            same &= key == key[-1]
+        cut = int(np.argmax(same))  # the last group may go on in the next batch
+        if cut:
+            yield from close(part.slice(0, cut).combine_chunks())
+        held = part.slice(cut)
+    if held is not None and held.num_rows:
+        yield from close(held.combine_chunks())
+
+
 def verified(docs: DataFrame, pairs: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose exact weighted Jaccard similarity is large enough, with it."""
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct())
@@ -373,9 +428,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Written out, so that the join's sides are plain exchanges and a bucket of many texts can be split.
     shared = checkpointed(bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash"))
     members = bands.join(shared, ["band", "hash"], "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-    pairs = checkpointed(candidates(checkpointed(members.select("band", "hash", "rep", "sig"))))
-    links = verified(named, pairs, idf, similarity)
-    roots = components(links)
+    members = checkpointed(members.select("band", "hash", "rep", "sig"))
+    pairs = checkpointed(candidates(members))
+    roots = checkpointed(components(verified(named, pairs, idf, similarity)))
+    crossed = checkpointed(crossing(members, roots).join(pairs, ["a", "b"], "left_anti"))
+    if crossed.limit(1).count():
+        links = verified(named, crossed, idf, similarity)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
     many = checkpointed(texts.where("copies > 1").select("name", "rep"))
     out = seen.select("doc_id", "name", "n_words").join(many, "name", "left").select("doc_id", "n_words", F.coalesce("rep", "doc_id").alias("rep"))
     out = out.join(roots, out["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), "n_words")

@@ -89,3 +89,26 @@ def test_empty_and_null(spark):
     got = nd.near_classes(spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (4, "A b")], schema)).collect()
     assert sorted((r["doc_id"] or 0, r["class_id"], r["kept"]) for r in got if r["doc_id"]) == [(3, 3, True), (3, 3, True), (4, 3, False)]
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
+
+
+def edited():
+    """Groups of many texts, most pairs of which are a little under the limit, so that links are few."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(500)]
+        for _ in range(110):
+            other = list(base)
+            for slot in rng.sample(range(80), rng.randint(6, 9)):
+                other[6 * slot + 3] = f"e{slot}"
+            rows.append((len(rows), " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [512, 32])
+def test_large_buckets_lose_no_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs).collect()}
+    assert got == brute(rows, nd.frequencies(docs), len(rows))
