@@ -7,9 +7,12 @@ mention of a group have a weight of their own. The pair term takes linear time:
 ``(|sum v_i|^2 - sum |v_i|^2) / 2``.
 
 Weights are learned in numpy from at most ``TRAIN_DOCS`` labelled texts outside fold 0; terms
-found in fewer than ``MIN_DOCS`` of them, or as often as chance has it in toxic ones (within
-``SCREEN`` standard deviations), have no weight: there are far more of those than texts to learn
-from, and they would be learned by heart. The model's size is bounded by SPACE.
+found in fewer than ``MIN_DOCS`` of them have none. Terms as often in toxic texts as chance has it
+(within ``SCREEN`` standard deviations) have no weight of their own but factors, since a pair may
+tell what neither term does. There are far more of those than texts to learn from, so they are
+learned after the others, without every ``HOLD``th text, and the epoch with the least loss on
+those texts counts; where none is better than the first terms alone, the factors stay zero. The
+model's size is bounded by SPACE.
 
 Defined results. Null texts count as empty; an empty text has the score of w0 alone. Without
 labels of both classes the score is the smoothed share of label 1 for every text. Null ids,
@@ -33,6 +36,8 @@ MIN_DOCS = 4
 #: Standard deviations by which a term's toxic texts must differ from their expected number.
 SCREEN = 4.5
 PREFIX = 4
+#: One text in so many decides whether the screened terms' factors are kept.
+HOLD = 10
 FACTORS = 8
 EPOCHS = 30
 RATE = 0.3
@@ -98,39 +103,69 @@ def fit(doc: np.ndarray, place: np.ndarray, label: np.ndarray, seed: int = 1) ->
         return {"places": places, "w0": float(np.log(share / (1 - share))), "w": np.zeros(1, np.float32), "v": np.zeros((1, FACTORS), np.float32)}
     seen = np.bincount(place, minlength=SPACE)
     apart = np.abs(np.bincount(place, label[doc], SPACE) - seen * share) >= SCREEN * np.sqrt(seen * share * (1 - share))
-    often = np.flatnonzero((seen >= MIN_DOCS) & apart)
+    often = np.flatnonzero(seen >= MIN_DOCS)
+    strong = apart[often]
     places[often] = np.arange(len(often))
     place = places[place].astype(np.int64)
     doc, place = doc[place >= 0], place[place >= 0]
-    rng, size = np.random.default_rng(seed), max(1, len(often))
-    w0, g0 = float(np.log(share / (1 - share))), 1e-6
-    w, gw = np.zeros(size), np.full(size, 1e-6)
-    v, gv = rng.normal(0, 0.01, (size, FACTORS)), np.full((size, FACTORS), 1e-2)
-    ends = np.searchsorted(doc, np.arange(n + 1))
-    for epoch in range(EPOCHS):
-        order = rng.permutation(n)
-        for lo in range(0, n, 256):
-            picked = order[lo : lo + 256]
-            sizes = ends[picked + 1] - ends[picked]
-            local = np.repeat(np.arange(len(picked)), sizes)
-            at = np.repeat(ends[picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            p = place[at]
-            vp = v[p]
-            sums = np.stack([np.bincount(local, vp[:, f], len(picked)) for f in range(FACTORS)], axis=1)
-            squares = np.bincount(local, (vp**2).sum(axis=1), len(picked))
-            z = w0 + np.bincount(local, w[p], len(picked)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            d = (sigmoid(z) - label[picked]) / len(picked)
-            g0 += d.sum() ** 2
-            w0 -= RATE * d.sum() / np.sqrt(g0)
-            touched = np.bincount(p, minlength=size) > 0
-            g = np.bincount(p, d[local], size) + L2 * w * touched
-            gw += g * g
-            w -= RATE * g / np.sqrt(gw)
-            for f in range(FACTORS):
-                g = np.bincount(p, d[local] * (sums[local, f] - vp[:, f]), size) + L2 * v[:, f] * touched
-                gv[:, f] += g * g
-                v[:, f] -= 0.3 * RATE * g / np.sqrt(gv[:, f])
-    return {"places": places, "w0": float(w0), "w": w.astype(np.float32), "v": v.astype(np.float32)}
+    size, ends = max(1, len(often)), np.searchsorted(doc, np.arange(n + 1))
+    strong = strong if len(often) else np.zeros(1, bool)
+    test, some = np.arange(n) % HOLD == HOLD - 1, strong[place]
+    log_share = float(np.log(share / (1 - share)))
+
+    def start(rng) -> dict:
+        v = rng.normal(0, 0.01, (size, FACTORS))
+        return {"w0": log_share, "g0": 1e-6, "w": np.zeros(size), "gw": np.full(size, 1e-6), "v": v * strong[:, None], "gv": np.full((size, FACTORS), 1e-2)}
+
+    def first(rng, texts: np.ndarray) -> dict:
+        m, own = start(rng), np.searchsorted(doc[some], np.arange(n + 1))
+        for _ in range(EPOCHS):
+            _epoch(m, rng.permutation(texts), place[some], own, label, strong)
+        return m
+
+    def loss(m: dict) -> float:
+        held = test[doc]
+        z = raw_score(m, doc[held], place[held], n)[test]
+        return float(np.mean(np.logaddexp(0, z) - label[test] * z))
+
+    best = None
+    if not strong.all() and test.any() and len(often):
+        rng, texts = np.random.default_rng(seed), np.flatnonzero(~test)
+        m = first(rng, texts)
+        least = loss(m)
+        m["v"] += rng.normal(0, 0.01, m["v"].shape) * ~strong[:, None]
+        for _ in range(EPOCHS):
+            _epoch(m, rng.permutation(texts), place, ends, label, strong)
+            now = loss(m)
+            if now < least:
+                least, best = now, {"w0": m["w0"], "w": m["w"].copy(), "v": m["v"].copy()}
+    best = best or first(np.random.default_rng(seed), np.arange(n))
+    return {"places": places, "w0": float(best["w0"]), "w": best["w"].astype(np.float32), "v": best["v"].astype(np.float32)}
+
+
+def _epoch(m: dict, order: np.ndarray, place: np.ndarray, ends: np.ndarray, label: np.ndarray, weighted: np.ndarray) -> None:
+    """One pass by AdaGrad over the texts in ``order``; only ``weighted`` terms have a weight of their own."""
+    w, gw, v, gv = m["w"], m["gw"], m["v"], m["gv"]
+    for lo in range(0, len(order), 256):
+        picked = order[lo : lo + 256]
+        sizes = ends[picked + 1] - ends[picked]
+        local = np.repeat(np.arange(len(picked)), sizes)
+        at = np.repeat(ends[picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        own, p = np.unique(place[at], return_inverse=True)
+        vo = v[own]
+        vp = vo[p]
+        sums = np.stack([np.bincount(local, vp[:, f], len(picked)) for f in range(FACTORS)], axis=1)
+        squares = np.bincount(local, (vp**2).sum(axis=1), len(picked))
+        z = m["w0"] + np.bincount(local, w[own][p], len(picked)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        d = (sigmoid(z) - label[picked]) / len(picked)
+        m["g0"] += d.sum() ** 2
+        m["w0"] -= RATE * d.sum() / np.sqrt(m["g0"])
+        g = (np.bincount(p, d[local], len(own)) + L2 * w[own]) * weighted[own]
+        gw[own] += g * g
+        w[own] -= RATE * g / np.sqrt(gw[own])
+        g = np.stack([np.bincount(p, d[local] * (sums[local, f] - vp[:, f]), len(own)) for f in range(FACTORS)], axis=1) + L2 * vo
+        gv[own] += g * g
+        v[own] -= 0.3 * RATE * g / np.sqrt(gv[own])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAIN_DOCS) -> dict:
