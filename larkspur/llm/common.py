@@ -52,6 +52,12 @@ def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     return _state[key]
 
 
+def ids_without_kept(decided: DataFrame) -> DataFrame:
+    """__gone: the ids (doc_id) of which no row is kept. Rows that share an id go or stay together."""
+    gone = decided.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("any"))
+    return gone.where(~F.col("any")).select("__gone")
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not in gone's column __gone.
 

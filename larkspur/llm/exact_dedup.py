@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, without
+from larkspur.llm.common import checkpointed, ids_without_kept, without
 
 MIN_CHUNK = 1024
 MAX_CHUNK = 8192
@@ -80,8 +80,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, in their own columns. A row without an id cannot be named and stays."""
-    return without(docs, exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), id_col)
+    """The documents that stay, in their own columns. A row without an id cannot be named and stays; an id goes only if none of its rows is kept."""
+    return without(docs, ids_without_kept(exact_dedup(docs, id_col, text_col)), id_col)
 
 
 QUERY = "op8_exact_dedup"

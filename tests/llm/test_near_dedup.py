@@ -59,7 +59,7 @@ def brute(rows, df, n):
     return {key: find(key) for key in keys}
 
 
-@pytest.mark.parametrize("chunk", [512, 16])
+@pytest.mark.parametrize("chunk", [256, 16])
 def test_classes_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(nd, "CHUNK", chunk)
     rows = corpus()
@@ -105,10 +105,49 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [512, 32])
+@pytest.mark.parametrize("chunk", [256, 32])
 def test_large_buckets_lose_no_link(spark, monkeypatch, chunk):
     monkeypatch.setattr(nd, "CHUNK", chunk)
     rows = edited()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs).collect()}
     assert got == brute(rows, nd.frequencies(docs), len(rows))
+
+
+@pytest.mark.parametrize("changed", [6, 7])
+def test_one_group_of_400_texts_near_the_limit(spark, changed):
+    rng, base = random.Random(changed), [f"w{k}" for k in range(500)]
+    rows = []
+    for k in range(400):
+        other = list(base)
+        for slot in rng.sample(range(83), changed):
+            other[6 * slot + 3] = f"e{slot}"
+        rows.append((k, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs).collect()}
+    assert got == brute(rows, nd.frequencies(docs), len(rows))
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    far, near = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, near), (2, far), (2, near), (3, far), (4, "alone")], "doc_id long, text string")
+    got = {(r["doc_id"], r["class_id"]): r["kept"] for r in nd.near_classes(docs).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (2, 1): False, (3, 2): False, (4, 4): True}
+    assert sorted((r["doc_id"], r["text"]) for r in nd.drop_near(docs).collect()) == sorted([(1, near), (2, far), (2, near), (4, "alone")])
+
+
+def test_ids_of_any_kind(spark):
+    docs = spark.createDataFrame([("k", "a b c"), ("j", "a b c"), (None, "")], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["class_id"], r["kept"], r["n_words"]) for r in nd.near_classes(docs).collect())
+    assert got == [("", None, True, 0), ("j", "j", True, 3), ("k", "j", False, 3)]
+
+
+def test_the_sketch_counts_frequent_shingles():
+    rng = np.random.default_rng(3)
+    common, rare = rng.integers(0, 1 << 48, 20).astype(np.uint64), rng.integers(0, 1 << 48, 3_000_000).astype(np.uint64)
+    sketch = np.zeros((nd.SKETCH_ROWS, 1 << (nd.SKETCH_BITS - 1)), np.int64)
+    for row in range(nd.SKETCH_ROWS):
+        held = np.bincount(nd.place(rare, row), minlength=1 << nd.SKETCH_BITS) + 20_000 * np.bincount(nd.place(common, row), minlength=1 << nd.SKETCH_BITS)
+        sketch[row] = held[::2] - held[1::2]
+    idf = nd.log_idf(sketch, 30_000)
+    assert (nd.levels(common, np.ones(20), idf) == 0).all() and (nd.levels(rare[:5000], np.ones(5000), idf) == 2).mean() > 0.99
