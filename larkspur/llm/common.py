@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -32,14 +33,47 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Take the folder of spark.checkpoint.dir; a folder of our own only where none is set and there is no cluster."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written into the checkpoint folder and read again, for loops: their sizes are true ones,
+    whereas a checkpoint keeps its plan's estimate, which each join of a loop multiplies. Those
+    that a round no longer needs are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        checkpoint_dir(spark)
+        self.spark, self.top, self.paths = spark, f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}", []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but_last: int = 0) -> None:
+        """Delete all tables but the last ones."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for k, path in enumerate(self.paths[: len(self.paths) - but_last]):
+            if path:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+                self.paths[k] = ""
+
+
 _state: dict = {}
 
 

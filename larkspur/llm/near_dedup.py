@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BROADCAST_IDS, checkpointed, ids_without_kept, small_batches, steps, table, without, worker_state
+from larkspur.llm.common import BROADCAST_IDS, Tables, checkpointed, ids_without_kept, small_batches, steps, table, without, worker_state
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -63,8 +63,10 @@ SMALL = 24
 BEST = 3
 CHUNK = 256
 #: Texts of a side of a block of a bucket's pairs, and bytes of their shingles.
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 16 << 20
+#: Links in a partition, at least, while classes form: few links make few and small files.
+LINKS = 100_000
 DRAW_BITS = 16
 REMEMBER = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -501,19 +503,28 @@ def jaccard(x: bytes, y: bytes) -> float:
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every linked node, by alternating stars."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    tables = Tables(links.sparkSession)
+    links = tables.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parts = 1 + links.count() // LINKS  # no step makes more edges than there are links
+
+    def written(df):
+        return tables.write(df.coalesce(parts))
+
+    edges, before = links, None
     while True:
         # The sides of each join are plain exchanges of written rows, so that a hub's rows can be split.
-        both = checkpointed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
+        edges = written(small.distinct())
+        tables.drop(but_last=1)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+            roots = checkpointed(edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"))
+            tables.drop()
+            return roots
         before = now
 
 
@@ -533,14 +544,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = bands.join(shared, ["band", "hash"], "left_semi").join(reps.select("rep", "sig"), "rep")
     members = checkpointed(members.select("band", "hash", "rep", "sig"))
     pairs = checkpointed(candidates(members))
-    roots = checkpointed(components(verified(docs, texts, pairs, idf, similarity)))
+    roots = components(verified(docs, texts, pairs, idf, similarity))
     open_ = unsettled(members, roots)
     if open_.limit(1).count():
         asked = checkpointed(contested(open_))
         if asked.limit(1).count():
             sets = sets_of(docs, texts.join(asked, "rep", "left_semi").select("rep", "doc_id", "name"), idf)
             links = checkpointed(crossing_links(open_.join(sets, "rep"), similarity))
-            roots = checkpointed(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     # A class takes the least id of its texts; only texts that have copies or links meet the rows again.
     nodes = roots.select(F.col("node").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
     nodes = checkpointed(nodes.join(texts.select("rep", "doc_id", "name"), "rep").select("root", "doc_id", "name"))
