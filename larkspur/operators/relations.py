@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.errors import QueryBuilderDefect
 from larkspur.expr import Condition, Expr, column, not_, outer
 from larkspur.functions import olap
-from larkspur.plans.lower import Context, lower
+from larkspur.plans.lower import _sort, Context, lower
 from larkspur.plans.query import Query, from_
 from larkspur.plans.subquery import exists, scalar
 from larkspur.table import TableDef
@@ -73,6 +73,8 @@ class Read:
     with_: dict[str, Any] = field(default_factory=dict)
     counts: tuple[str, ...] = ()
     columns: tuple[str, ...] = ()
+    #: Declares that this level and those below it read across tenants.
+    cross_tenant: bool = False
 
 
 class Relations:
@@ -96,12 +98,15 @@ class Relations:
     def find_many(self, spark: SparkSession, table: TableDef, read: Read | None = None, params: dict | None = None, resolve: Any = None) -> DataFrame:
         """One plan: children are grouped by their key and joined, level by level from below.
 
-        A nested limit holds for its whole level, not per parent. Children keep their level's
-        order; a 'one' is a struct or null, a 'many' an array, empty where there is none.
+        Rows and children keep their level's order; a 'one' is a struct or null, a 'many' an array,
+        empty where there is none. A limit or an offset is for the top level only.
         """
         read = read or Read()
+        if any(isinstance(n, Read) and (n.limit is not None or n.offset) for n in read.with_.values()):
+            raise QueryBuilderDefect("a limit or an offset inside a relation: only the top level has one")
+        keys = [o if isinstance(o, tuple) else (o, "asc") for o in read.order_by]
         q = from_(table, table.name).select(*(read.columns or table.columns))
-        needed = {self._edge(table, n).near for n in (*read.with_, *read.counts)} | set(read.columns or table.columns)
+        needed = {self._edge(table, n).near for n in (*read.with_, *read.counts)} | set(read.columns or table.columns) | {n for n, _ in keys}
         q = q.select(*[n for n in table.columns if n in needed])
         if read.where:
             q = q.where(read.where)
@@ -111,7 +116,8 @@ class Relations:
             q = q.offset(read.offset)
         if read.limit is not None:
             q = q.limit(read.limit)
-        df = lower(q, Context(spark, params or {}, resolve=resolve))
+        ctx = Context(spark, params or {}, resolve=resolve)
+        df = lower(q, ctx)
         # Names of relations may differ from columns by case alone; they get their own until the end.
         out = [F.col(f"`{n}`") for n in (read.columns or table.columns)]
         for name, nested in read.with_.items():
@@ -119,8 +125,8 @@ class Relations:
             nested = nested if isinstance(nested, Read) else Read()
             child = self.find_many(spark, r.target, Read(nested.where, nested.order_by, nested.limit, nested.offset, nested.with_, nested.counts, tuple({*nested.columns, r.far, *[o[0] if not isinstance(o, str) else o for o in nested.order_by]}) if nested.columns else ()), params, resolve)
             shown = list(nested.columns or r.target.columns) + list(nested.with_) + [f"{c}_count" for c in nested.counts]
-            keys = [o if isinstance(o, tuple) else (o, "asc") for o in nested.order_by]
-            place = F.row_number().over(_level(r.far, keys))
+            level = [o if isinstance(o, tuple) else (o, "asc") for o in nested.order_by]
+            place = F.row_number().over(_level(ctx, r.far, level))
             item = F.struct(place.alias("__at"), F.struct(*[child[f"`{c}`"] for c in shown]).alias("row"))
             grouped = child.select(F.col(r.far).alias("__key"), item.alias("__item")).where(F.col("__key").isNotNull())
             grouped = grouped.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["row"]).alias(f"__of_{name}"))
@@ -132,16 +138,30 @@ class Relations:
             counted = lower(from_(r.target, r.target.name).select(lambda x, r=r: {"__key": x[r.far], f"{name}_count": olap.count()}).group_by("__key"), Context(spark, params or {}, resolve=resolve))
             df = df.join(counted, df[r.near] == counted["__key"], "left").drop("__key").withColumn(f"{name}_count", F.coalesce(F.col(f"{name}_count"), F.lit(0)).cast("long"))
             out.append(F.col(f"{name}_count"))
+        if keys and (read.with_ or read.counts):  # the joins have moved the rows
+            df = df.orderBy(*[_sort(ctx, n, d) for n, d in keys])
         return df.select(*out)
 
+    def queries(self, table: TableDef, read: Read | None = None, declared: bool = False) -> list[tuple[Query, bool]]:
+        """The query of each level and of each count, and whether it may cross tenants."""
+        read = read or Read()
+        declared = declared or read.cross_tenant
+        q = from_(table, table.name).select(*table.columns)
+        out = [(q.where(read.where) if read.where else q, declared)]
+        for name, nested in read.with_.items():
+            out += self.queries(self._edge(table, name).target, nested if isinstance(nested, Read) else None, declared)
+        for name in read.counts:
+            out += self.queries(self._edge(table, name).target, None, declared)
+        return out
+
 
-def _level(far: str, keys: list[tuple[str, str]]) -> Any:
+def _level(ctx: Context, far: str, keys: list[tuple[str, str]]) -> Any:
     from pyspark.sql import Window as W
 
-    order = [F.col(n).asc() if d == "asc" else F.col(n).desc() for n, d in keys] or [F.lit(1)]
-    return W.partitionBy(far).orderBy(*order)
+    return W.partitionBy(far).orderBy(*([_sort(ctx, n, d) for n, d in keys] or [F.lit(1)]))
 
 
-def find_all_by(spark: SparkSession, table: TableDef, name: str, keys: list[Any], params: dict | None = None, resolve: Any = None) -> DataFrame:
-    """Many lookups as one: rows whose column is any of the keys."""
-    return lower(from_(table, table.name).select().where(lambda r: r[name].in_(list(dict.fromkeys(keys)))), Context(spark, params or {}, resolve=resolve))
+def find_all_by(spark: SparkSession, table: TableDef, name: str, keys: list[Any], params: dict | None = None, resolve: Any = None, where: Callable | None = None) -> DataFrame:
+    """Many lookups as one: rows whose column is any of the keys, and that ``where`` lets pass."""
+    q = from_(table, table.name).select().where(lambda r: r[name].in_(list(dict.fromkeys(keys))))
+    return lower(q.where(where) if where else q, Context(spark, params or {}, resolve=resolve))

@@ -156,11 +156,15 @@ def _some_filters(q: Query, n: int) -> list[Condition]:
     return replace(q, wheres=q.wheres[:n]).filters()
 
 
+WIDTHS = {"byte": 1, "short": 2, "integer": 3, "long": 4, "float": 5, "double": 6}
+
+
 def _common(kinds: list[ColType | None]) -> ColType | None:
     if any(k is None for k in kinds):
         return None
     nullable = any(k.is_nullable for k in kinds)
-    first = next((k for k in kinds if k.spark.typeName() == "double"), kinds[0])
+    # Of numbers the widest, whatever the order of the branches.
+    first = max(kinds, key=lambda k: WIDTHS[k.spark.typeName()]) if all(k.spark.typeName() in WIDTHS for k in kinds) else kinds[0]
     return t.nullable(first) if nullable else first
 
 

@@ -103,16 +103,34 @@ class Session:
         return [r.asDict() for r in self.spark.sql(text, args=params, **frames).collect()]
 
     def paginate(self, q: Query, order_by: list[tuple[str, str]], limit: int, after: str | None = None, params: dict | None = None) -> Page:
-        return paginate(q, self.spark, order_by, limit, after, params, self._resolve())
+        scope = tenant.scope_of(q)
+        self._guard(scope, q.is_cross_tenant)
+        pages: list[Page] = []
 
-    def find_many(self, table: TableDef, read: Read | None = None, params: dict | None = None) -> list[dict]:
-        df = (self.relations or Relations({})).find_many(self.spark, table, read, params, self._resolve())
-        return [r.asDict(recursive=True) for r in df.collect()]
+        def work() -> list:
+            pages.append(paginate(q, self.spark, order_by, limit, after, params, self._resolve()))
+            return pages[0].rows
 
-    def find_by_ids(self, table: TableDef, column: str, keys: list[Any]) -> list[list[dict]]:
-        """For each key its rows, by one query."""
+        self._observed("page", q.source.alias if q.source else None, scope, work)
+        return pages[0]
+
+    def find_many(self, table: TableDef, read: Read | None = None, params: dict | None = None) -> list[dict]:
+        """Every level has to be bound to one tenant, or to say that it crosses them."""
+        relations = self.relations or Relations({})
+        scopes = [(tenant.scope_of(q), declared) for q, declared in relations.queries(table, read)]
+        for scope, declared in scopes:
+            self._guard(scope, declared)
+        df = relations.find_many(self.spark, table, read, params, self._resolve())
+        return self._observed("find many", table.name, scopes[0][0], lambda: [r.asDict(recursive=True) for r in df.collect()])
+
+    def find_by_ids(self, table: TableDef, column: str, keys: list[Any], where: Callable | None = None, cross_tenant: bool = False) -> list[list[dict]]:
+        """For each key its rows, by one query; ``where`` binds the tenant."""
+        q = from_(table, table.name).select(*table.columns)
+        scope = tenant.scope_of(q.where(where) if where else q)
+        self._guard(scope, cross_tenant)
         found: dict[Any, list[dict]] = {}
-        for r in find_all_by(self.spark, table, column, keys, resolve=self._resolve()).collect():
+        df = find_all_by(self.spark, table, column, keys, resolve=self._resolve(), where=where)
+        for r in self._observed("find by ids", table.name, scope, df.collect):
             found.setdefault(r[column], []).append(r.asDict())
         return [found.get(k, []) for k in keys]
 

@@ -145,7 +145,8 @@ def snippet(x: Expr, query: str, start: str = "<b>", end: str = "</b>", gap: str
         at = F.array_position(F.transform(bare, hit), True)
         begin = F.greatest(F.lit(1), F.least(at - n // 2, F.size(words) - n + 1)).cast("int")
         part = F.array_join(F.slice(words, begin, n), " ")
-        marked = F.regexp_replace(part, _pattern(node), f"{start}$1{end}".replace("\\", "\\\\"))
+        safe = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
+        marked = F.regexp_replace(part, _pattern(node), f"{safe(start)}$1{safe(end)}")
         return F.concat(F.when(begin > 1, gap).otherwise(""), marked, F.when(begin + n <= F.size(words), gap).otherwise(""))
 
     return call(f"snippet[{query},{n}]", (x,), build, x.type)

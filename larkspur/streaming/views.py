@@ -7,7 +7,6 @@ backfill does, window by window, with a ledger of windows that are done.
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -35,12 +34,18 @@ class MaterializedView:
         return lower(replace(self.body, source=Source(table, source.alias)), Context(rows.sparkSession))
 
     def start(self, store: Store, folder: str, checkpoint: str, once: bool = False) -> Any:
-        """Follow the folder of the body's source; each batch of new files appends to the target."""
+        """Follow the folder of the body's source; each batch of new files appends to the target, once.
+
+        A batch that is tried again after its rows were written finds its number in the target's pointer.
+        """
         spark, source = store.spark, self.body.source.of
         incoming = spark.readStream.schema(source.schema()).parquet(folder)
 
+        key = f"stream {self.name} {checkpoint}"
+
         def write(batch: DataFrame, epoch: int) -> None:
-            store.append(self.to, self.over(batch))
+            if epoch > store.marks(self.to).get(key, -1):
+                store.append(self.to, self.over(batch), {key: epoch})
 
         writer = incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(self.name)
         return (writer.trigger(availableNow=True) if once else writer).start()
@@ -94,8 +99,8 @@ DAY = 86_400
 
 def backfill(view: MaterializedView, store: Store, rows: DataFrame, column: str, since: dt.datetime, until: dt.datetime, days: int = 1) -> int:
     """Append the body over [since, until), in windows of whole days counted from 1970; done windows are skipped."""
-    done_path = f"{store.root}/{view.to.name}/_backfill_{view.name}"
-    done = set(json.loads(store._read(done_path) or "[]"))
+    ledger = f"backfill {view.name}"
+    done = set(store.marks(view.to).get(ledger, []))
     width, began = days * DAY, 0
     at = int(since.replace(tzinfo=dt.UTC).timestamp())
     end = int(until.replace(tzinfo=dt.UTC).timestamp())
@@ -104,9 +109,8 @@ def backfill(view: MaterializedView, store: Store, rows: DataFrame, column: str,
         key = f"{at}-{stop}"
         if key not in done:
             lo, hi = (dt.datetime.fromtimestamp(x, dt.UTC).replace(tzinfo=None) for x in (at, stop))
-            store.append(view.to, view.over(rows.where((F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(hi)))))
             done.add(key)
-            store._write(done_path, json.dumps(sorted(done)))
+            store.append(view.to, view.over(rows.where((F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(hi)))), {ledger: sorted(done)})
             began += 1
         at = stop
     return began
