@@ -2,17 +2,21 @@
 
 Documents fall into cells by their dimensions (source, language and topic by default). A cell's
 weight starts as its tokens and is raked to each dimension's target marginal in turn, ``SWEEPS``
-times over. Every document then stays with its cell's calibrated probability
-``min(1, budget * share of the raked weight / share of the tokens)``, decided by a hash of its
-id alone, so a rerun or a lost executor changes nothing.
+times over. No cell can give more than all its tokens: its weight stops there within each step, and
+the next ones raise the other cells of its values instead, so that the marginals are met where
+the corpus can meet them (``reached`` tells how near). Every document then stays with its cell's
+calibrated probability ``budget * share of the raked weight / share of the tokens``, decided by a
+hash of its id alone, so a rerun or a lost executor changes nothing.
 
 The raking runs over one row per cell, so its size is that of the dimensions' product as it
-occurs, whatever the number of documents. Documents meet their cell's rate by a broadcast only
+occurs, whatever the number of documents. Up to ``BROADCAST_CELLS`` cells are summed by windows;
+beyond it by partial sums that the cells then meet in a join, so that no task holds all cells of a value. Documents meet their cell's rate by a broadcast only
 while the cells are few (``BROADCAST_CELLS``), by a shuffled join beyond it.
 
 Defined results. A null dimension is a value of its own, written ''. Null texts are empty.
 Empty documents weigh 0 tokens and share their cell's probability; a cell without any tokens
-keeps all its documents. A null id is decided as the empty text would be. Targets that name no
+keeps all its documents. A null id is decided as the empty text would be by ``mix``; ``sample_mix``
+keeps its row, which no id can name. Rows that share an id go or stay together. Targets that name no
 present value are ignored and the rest are rescaled. Repeated rows are decided alike. An empty
 table gives an empty result.
 """
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, table, without
+from larkspur.llm.common import Tables, checkpointed, table, without
 
 DIMS = ("source", "lang", "topic")
 SWEEPS = 12
@@ -54,34 +58,58 @@ def token_weight(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^ \t\r\n]+")).cast("long")
 
 
-def rake(cells: DataFrame, dims=DIMS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """Add raked (shares that sum to 1) and per-dimension target shares to cells of (dims, tokens)."""
+def rake(cells: DataFrame, dims=DIMS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
+    """Add raked (shares; 1 in all where the targets can be met), most (a cell's share at most) and per-dimension target shares to cells of (dims, tokens)."""
     names = list(cells.columns)
+    few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    tables = Tables(cells.sparkSession)
     total = cells.agg(F.sum(F.col("tokens").cast("double"))).first()[0] or 1.0
-    out = cells.withColumn("raked", F.col("tokens").cast("double") / F.lit(total))
+
+    def summed(frame: DataFrame, d: str) -> DataFrame:
+        """Add __sum, what raked comes to for the row's value of d."""
+        if few:
+            return frame.withColumn("__sum", F.sum("raked").over(W.partitionBy(d)))
+        frame = tables.write(frame)
+        sums = tables.write(frame.groupBy(d).agg(F.sum("raked").alias("__sum")))
+        return frame.join(sums, d)
+
+    share = F.col("tokens").cast("double") / F.lit(total)
+    out = cells.withColumn("raked", share).withColumn("most", share / F.lit(float(budget)))
     spread = {}
     for d in dims:
-        share = F.sum("raked").over(W.partitionBy(d))
+        out = summed(out, d)
         if targets and d in targets:
             given = F.create_map([F.lit(x) for k, v in targets[d].items() for x in (k, float(v))])
             want = F.coalesce(F.try_element_at(given, F.col(d)), F.lit(0.0))
         else:
-            want = F.pow(share, F.lit(TEMPER.get(d, 1.0)))
-        out = out.withColumn(f"target_{d}", F.when(share > 0, want).otherwise(0.0))
+            want = F.pow("__sum", F.lit(TEMPER.get(d, 1.0)))
+        some = F.col("__sum") > 0
+        out = out.withColumn(f"target_{d}", F.when(some, want).otherwise(0.0))
         # A value's target is spread over its cells, so that the sum over cells is the sum over values.
-        out = out.withColumn(f"__spread_{d}", F.col(f"target_{d}") * F.when(share > 0, F.col("raked") / share).otherwise(0.0))
+        out = out.withColumn(f"__spread_{d}", F.col(f"target_{d}") * F.when(some, F.col("raked") / F.col("__sum")).otherwise(0.0)).drop("__sum")
         spread[d] = F.sum(f"__spread_{d}").alias(d)
     # Sums over everything are single numbers; nothing is gathered in one task for them.
     out = checkpointed(out)
     sums = out.agg(*spread.values()).first()
     for d in dims:
         out = out.withColumn(f"target_{d}", F.try_divide(F.col(f"target_{d}"), F.lit(sums[d] or 0.0)))
+    out = out.select(*names, "raked", "most", *[f"target_{d}" for d in dims])
     for k in range(sweeps):
-        if k and k % PLAN_SWEEPS == 0:
+        if few and k and k % PLAN_SWEEPS == 0:
             out = checkpointed(out)
         for d in dims:
-            out = out.withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), F.sum("raked").over(W.partitionBy(d))), F.lit(0.0)))
-    return out.select(*names, "raked", *[f"target_{d}" for d in dims])
+            step = F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), F.col("__sum")), F.lit(0.0))
+            out = summed(out, d).withColumn("raked", F.least(step, F.col("most"))).drop("__sum")
+        tables.drop(but_last=2)
+    out = checkpointed(out.select(*names, "raked", "most", *[f"target_{d}" for d in dims]))
+    tables.drop()
+    return out
+
+
+def reached(raked: DataFrame, dims=DIMS) -> DataFrame:
+    """dim, value, target and reached: the shares of the kept tokens as they should be and as the rates make them."""
+    parts = [raked.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.max(f"target_{d}").alias("target"), F.sum("raked").alias("reached")) for d in dims]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def uniform(key: Column) -> Column:
@@ -99,7 +127,7 @@ def mix(docs: DataFrame, dims=DIMS, targets=None, budget: float = BUDGET, sweeps
     )
     seen = checkpointed(seen)
     cells = checkpointed(seen.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, dims, targets, sweeps)
+    raked = rake(cells, dims, targets, sweeps, budget)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     share = F.col("tokens") / F.lit(total)
     rates = raked.select(*dims, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(budget)) * F.try_divide(F.col("raked"), share))).otherwise(1.0).alias("probability"))
@@ -124,15 +152,15 @@ def _oracle() -> str:
     sql = [
         f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {case} AS topic, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS n_tokens FROM documents)",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
-        "r0 AS (SELECT *, tokens / sum(tokens) OVER () AS raked FROM c)",
+        f"r0 AS (SELECT *, tokens / sum(tokens) OVER () AS raked, tokens / sum(tokens) OVER () / {BUDGET} AS most FROM c)",
         "w AS (SELECT *, " + ", ".join(f"sum(raked) OVER (PARTITION BY {d}) AS share_{d}" for d in DIMS) + " FROM r0)",
         "g AS (SELECT *, " + ", ".join(f"CASE WHEN share_{d} > 0 THEN pow(share_{d}, {TEMPER[d]}) ELSE 0.0 END AS want_{d}" for d in DIMS) + " FROM w)",
-        "t AS (SELECT source, lang, topic, tokens, raked, " + ", ".join(f"want_{d} / sum(CASE WHEN share_{d} > 0 THEN want_{d} * raked / share_{d} ELSE 0.0 END) OVER () AS target_{d}" for d in DIMS) + " FROM g)",
+        "t AS (SELECT source, lang, topic, tokens, raked, most, " + ", ".join(f"want_{d} / sum(CASE WHEN share_{d} > 0 THEN want_{d} * raked / share_{d} ELSE 0.0 END) OVER () AS target_{d}" for d in DIMS) + " FROM g)",
     ]
     last = "t"
     for k in range(SWEEPS):
         for d in DIMS:
-            sql.append(f"s{k}_{d} AS (SELECT * REPLACE (coalesce(raked * target_{d} / nullif(sum(raked) OVER (PARTITION BY {d}), 0), 0.0) AS raked) FROM {last})")
+            sql.append(f"s{k}_{d} AS (SELECT * REPLACE (least(coalesce(raked * target_{d} / nullif(sum(raked) OVER (PARTITION BY {d}), 0), 0.0), most) AS raked) FROM {last})")
             last = f"s{k}_{d}"
     sql.append(f"p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN round(least(1.0, {BUDGET} * raked / (tokens / sum(tokens) OVER ())), 9) ELSE 1.0 END AS probability FROM {last})".replace("sum(tokens) OVER ()", f"(SELECT sum(tokens) FROM {last})"))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, mixing, warc
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept int"
 
 
@@ -51,18 +52,43 @@ def test_drop_exact_keeps_columns_and_one_of_each(spark):
 def test_raking_meets_the_marginals(spark):
     cells = spark.createDataFrame([("a", "x", "t", 100.0), ("a", "y", "t", 300.0), ("b", "x", "u", 500.0), ("b", "y", "t", 50.0), ("c", "x", "u", 0.0)], "source string, lang string, topic string, tokens double")
     targets = {"source": {"a": 3.0, "b": 1.0, "none": 9.0, "c": 0.0}, "lang": {"x": 0.5, "y": 0.5}}
-    got = mixing.rake(cells, ("source", "lang"), targets, sweeps=60).collect()
+    # A small budget: there is enough of every cell.
+    got = mixing.rake(cells, ("source", "lang"), targets, sweeps=60, budget=0.05).collect()
     sums = lambda d: {k: sum(r["raked"] for r in got if r[d] == k) for k in {r[d] for r in got}}
     assert abs(sum(r["raked"] for r in got) - 1) < 1e-9
     assert abs(sums("source")["a"] - 0.75) < 0.02 and abs(sums("lang")["x"] - 0.5) < 0.02
 
 
+def test_cells_that_give_all_they_have_leave_the_marginals_to_the_others(spark):
+    cells = spark.createDataFrame([("a", "x", "", 5.0), ("a", "y", "", 495.0), ("b", "x", "", 300.0), ("b", "y", "", 200.0)], "source string, lang string, topic string, tokens double")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.4, "y": 0.6}}
+    raked = mixing.rake(cells, ("source", "lang"), targets, sweeps=60, budget=0.7)
+    got = {(r["source"], r["lang"]): r["raked"] for r in raked.collect()}
+    assert abs(got[("a", "x")] - 0.005 / 0.7) < 1e-9  # all of it
+    assert all(abs(r["target"] - r["reached"]) < 1e-6 for r in mixing.reached(raked, ("source", "lang")).collect())
+
+
+def test_many_cells_are_raked_alike_by_joins(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    few = {r["doc_id"]: r["probability"] for r in mixing.mix(df, sweeps=2).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
+    many = {r["doc_id"]: r["probability"] for r in mixing.mix(df, sweeps=2).collect()}
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-8 for k in few)
+
+
+def test_the_shipped_marginals_are_met(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = mixing.mix(df).groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
+    gaps = [abs(r["target"] - r["reached"]) for r in mixing.reached(mixing.rake(seen)).collect()]
+    assert max(gaps) < 0.002
+
+
 def test_raking_equals_a_plain_loop(spark):
     rows = [(s, lang, p, float((3 * i + 7 * j + 5 * k) % 11 + 1)) for i, s in enumerate("abc") for j, lang in enumerate("xy") for k, p in enumerate("tu")]
     w = {r[:3]: r[3] for r in rows}
     total = sum(w.values())
     w = {k: v / total for k, v in w.items()}
-    want = []
+    most, want = {k: v / mixing.BUDGET for k, v in w.items()}, []
     for axis, d in enumerate(mixing.DIMS):
         share = collections.Counter()
         for k, v in w.items():
@@ -74,7 +100,7 @@ def test_raking_equals_a_plain_loop(spark):
             share = collections.Counter()
             for k, v in w.items():
                 share[k[axis]] += v
-            w = {k: v * want[axis][k[axis]] / share[k[axis]] for k, v in w.items()}
+            w = {k: min(most[k], v * want[axis][k[axis]] / share[k[axis]]) for k, v in w.items()}
     got = mixing.rake(spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")).collect()
     assert all(abs(r["raked"] - w[(r["source"], r["lang"], r["topic"])]) < 1e-12 for r in got)
 
