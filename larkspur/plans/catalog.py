@@ -41,7 +41,7 @@ def _query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from larkspur.plans import catalog_more  # noqa: F401  registers the rest
+    from larkspur.plans import catalog_more, catalog_values  # noqa: F401  register the rest
 
     return dict(_QUERIES)
 
