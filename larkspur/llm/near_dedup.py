@@ -353,7 +353,7 @@ def crossing(held: DataFrame, work, schema: str) -> DataFrame:
 
 
 def block_pairs(part):
-    """Of each block in a table of whole blocks: its edges in the table, and for each text of side 0 its pairs of different roots with an estimate of ``ESTIMATE`` or more whose first shared bucket this is."""
+    """Of each block (lo, hi) in a table of whole blocks: for each text of side 0 its pairs of different roots with an estimate of ``ESTIMATE`` or more whose first shared bucket this is."""
     key = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
     edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
     side, root = part.column(4).to_numpy(), part.column(6).to_numpy()
@@ -369,7 +369,7 @@ def block_pairs(part):
             other = mid + other[np.argsort(-alike[other].astype(np.int64), kind="stable")]
             if len(other):
                 shared = (sig[other] == sig[k]).reshape(len(other), BANDS, ROWS).all(axis=2)
-                yield lo, k, other[shared.argmax(axis=1) == key[k, 0]]
+                yield lo, hi, k, other[shared.argmax(axis=1) == key[k, 0]]
 
 
 def contested(held: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def contested(held: DataFrame) -> DataFrame:
 
     def close(part):
         rep, found = part.column(5).to_numpy(), set()
-        for _, k, other in block_pairs(part):
+        for _, _, k, other in block_pairs(part):
             if len(other):
                 found.add(int(rep[k]))
                 found.update(rep[other].tolist())
@@ -390,33 +390,44 @@ def contested(held: DataFrame) -> DataFrame:
     return crossing(held, work, "rep long").distinct()
 
 
+class Sets:
+    """The shingles of a block's texts, numbered within the block, and their weights."""
+
+    def __init__(self, sets: list[bytes]):
+        read = [weights(x) for x in sets]
+        found, ids = np.unique(np.concatenate([a for a, _ in read]), return_inverse=True)
+        self.ids = np.split(ids.astype(np.int32), np.cumsum([len(a) for a, _ in read])[:-1])
+        self.weights = [w for _, w in read]
+        self.totals = np.array([w.sum() for w in self.weights])
+        self.own = np.zeros(len(found))
+
+    def similarities(self, k: int, others: np.ndarray) -> np.ndarray:
+        """The exact weighted Jaccard similarities of text k to the others; no text is without shingles."""
+        ids, w = [self.ids[o] for o in others], np.concatenate([self.weights[o] for o in others])
+        starts = np.cumsum([0, *(len(x) for x in ids[:-1])])
+        self.own[self.ids[k]] = self.weights[k]
+        shared = np.add.reduceat(np.minimum(self.own[np.concatenate(ids)], w), starts)
+        self.own[self.ids[k]] = 0
+        return shared / (self.totals[k] + self.totals[others] - shared)
+
+
 def crossing_links(held: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between classes, verified inside the blocks; held has the texts' sets."""
 
     def close(part):
-        rep, root, sets = part.column(5).to_numpy(), part.column(6).to_numpy(), part.column(8)
-        links, block, up, sums = [], -1, {}, {}
-
-        def find(x):
-            while x in up:
-                x = up[x]
-            return x
-
-        def total(k):
-            if k not in sums:
-                sums[k] = weights(sets[k].as_py())[1].sum()
-            return sums[k]
-
-        for lo, k, others in block_pairs(part):
-            if lo != block:
-                block, up, sums = lo, {}, {}
-            for o in others.tolist():
-                x, y = find(root[k]), find(root[o])
-                if x == y or min(total(k), total(o)) < (similarity - 1e-9) * max(total(k), total(o)):
-                    continue
-                if jaccard(sets[k].as_py(), sets[o].as_py()) >= similarity - 1e-9:
-                    up[max(x, y)] = min(x, y)
-                    links.append((int(rep[k]), int(rep[o])))
+        rep, root, block, links = part.column(5).to_numpy(), part.column(6).to_numpy(), (0, 0), []
+        for lo, hi, k, others in block_pairs(part):
+            if (lo, hi) != block:
+                block, sets, now = (lo, hi), Sets(part.column(8).slice(lo, hi - lo).to_pylist()), root[lo:hi].copy()
+            k, others = k - lo, others - lo
+            others = others[now[others] != now[k]]
+            small, large = np.minimum(sets.totals[others], sets.totals[k]), np.maximum(sets.totals[others], sets.totals[k])
+            others = others[small >= (similarity - 1e-9) * large]
+            if len(others):
+                for o in others[sets.similarities(k, others) >= similarity - 1e-9].tolist():
+                    if now[o] != now[k]:
+                        now[now == now[o]] = now[k]
+                        links.append((int(rep[lo + k]), int(rep[lo + o])))
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

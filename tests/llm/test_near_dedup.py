@@ -148,3 +148,16 @@ def test_the_sketch_counts_frequent_shingles():
         sketch[row] = held[::2] - held[1::2]
     idf = nd.log_idf(sketch, 30_000)
     assert (nd.levels(common, np.ones(20), idf) == 0).all() and (nd.levels(rare[:5000], np.ones(5000), idf) == 2).mean() > 0.99
+
+
+def test_block_similarities_equal_the_pairwise_ones():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 40, 200, 200):
+        shingle = np.unique(rng.integers(0, 300, n).astype(np.uint32))
+        sets.append(shingle.tobytes() + rng.integers(0, 20, len(shingle)).astype(np.uint16).tobytes())
+    sets.append(sets[2])
+    block = near_dedup.Sets(sets)
+    for k in range(len(sets)):
+        for others in (np.arange(len(sets)), np.array([k])):
+            assert np.allclose(block.similarities(k, others), [near_dedup.jaccard(sets[k], sets[o]) for o in others], rtol=0, atol=1e-12)
