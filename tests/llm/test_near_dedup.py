@@ -157,7 +157,7 @@ def test_block_similarities_equal_the_pairwise_ones():
         shingle = np.unique(rng.integers(0, 300, n).astype(np.uint32))
         sets.append(shingle.tobytes() + rng.integers(0, 20, len(shingle)).astype(np.uint16).tobytes())
     sets.append(sets[2])
-    block = near_dedup.Sets(sets)
+    block = nd.Sets(sets)
     for k in range(len(sets)):
         for others in (np.arange(len(sets)), np.array([k])):
-            assert np.allclose(block.similarities(k, others), [near_dedup.jaccard(sets[k], sets[o]) for o in others], rtol=0, atol=1e-12)
+            assert np.allclose(block.similarities(k, others), [nd.jaccard(sets[k], sets[o]) for o in others], rtol=0, atol=1e-12)
