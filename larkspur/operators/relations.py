@@ -67,7 +67,8 @@ class Read:
     """What to read of a level: filter, order, limit, nested relations and counts."""
 
     where: Callable | None = None
-    order_by: tuple = ()
+    #: Names, pairs of a name and 'asc' or 'desc', or a callback that gives pairs of expressions.
+    order_by: tuple | Callable = ()
     limit: int | None = None
     offset: int | None = None
     with_: dict[str, Any] = field(default_factory=dict)
@@ -101,17 +102,19 @@ class Relations:
         Rows and children keep their level's order; a 'one' is a struct or null, a 'many' an array,
         empty where there is none. A limit or an offset is for the top level only.
         """
-        read = read or Read()
+        return self._read(spark, table, read or Read(), params, resolve)
+
+    def _read(self, spark: SparkSession, table: TableDef, read: Read, params: dict | None, resolve: Any, below: bool = False) -> DataFrame:
+        """The rows of a level; one below another also gives the expressions it is ordered by."""
         if any(isinstance(n, Read) and (n.limit is not None or n.offset) for n in read.with_.values()):
             raise QueryBuilderDefect("a limit or an offset inside a relation: only the top level has one")
-        keys = [o if isinstance(o, tuple) else (o, "asc") for o in read.order_by]
-        q = from_(table, table.name).select(*(read.columns or table.columns))
+        keys, made = _keys(table, read)
         needed = {self._edge(table, n).near for n in (*read.with_, *read.counts)} | set(read.columns or table.columns) | {n for n, _ in keys}
-        q = q.select(*[n for n in table.columns if n in needed])
+        q = from_(table, table.name).select(lambda x: {n: x[n] for n in table.columns if n in needed} | made)
         if read.where:
             q = q.where(read.where)
-        if read.order_by:
-            q = q.order_by(*read.order_by)
+        if keys:
+            q = q.order_by(*keys)
         if read.offset:
             q = q.offset(read.offset)
         if read.limit is not None:
@@ -123,9 +126,10 @@ class Relations:
         for name, nested in read.with_.items():
             r = self._edge(table, name)
             nested = nested if isinstance(nested, Read) else Read()
-            child = self.find_many(spark, r.target, Read(nested.where, nested.order_by, nested.limit, nested.offset, nested.with_, nested.counts, tuple({*nested.columns, r.far, *[o[0] if not isinstance(o, str) else o for o in nested.order_by]}) if nested.columns else ()), params, resolve)
+            level, hidden = _keys(r.target, nested)
+            named = [n for n, _ in level if n not in hidden]
+            child = self._read(spark, r.target, Read(nested.where, nested.order_by, nested.limit, nested.offset, nested.with_, nested.counts, tuple({*nested.columns, r.far, *named}) if nested.columns else ()), params, resolve, below=True)
             shown = list(nested.columns or r.target.columns) + list(nested.with_) + [f"{c}_count" for c in nested.counts]
-            level = [o if isinstance(o, tuple) else (o, "asc") for o in nested.order_by]
             place = F.row_number().over(_level(ctx, r.far, level))
             item = F.struct(place.alias("__at"), F.struct(*[child[f"`{c}`"] for c in shown]).alias("row"))
             grouped = child.select(F.col(r.far).alias("__key"), item.alias("__item")).where(F.col("__key").isNotNull())
@@ -140,7 +144,7 @@ class Relations:
             out.append(F.col(f"{name}_count"))
         if keys and (read.with_ or read.counts):  # the joins have moved the rows
             df = df.orderBy(*[_sort(ctx, n, d) for n, d in keys])
-        return df.select(*out)
+        return df.select(*out, *([F.col(f"`{n}`") for n in made] if below else []))
 
     def queries(self, table: TableDef, read: Read | None = None, declared: bool = False) -> list[tuple[Query, bool]]:
         """The query of each level and of each count, and whether it may cross tenants."""
@@ -155,6 +159,19 @@ class Relations:
         return out
 
 
+def _keys(table: TableDef, read: Read) -> tuple[list[tuple[str, str]], dict[str, Expr]]:
+    """What a level is ordered by as names and directions, and the expressions among them by name."""
+    if not callable(read.order_by):
+        return [o if isinstance(o, tuple) else (o, "asc") for o in read.order_by], {}
+    keys, made = [], {}
+    for k, (e, direction) in enumerate(from_(table, table.name).order_by(read.order_by).order_pairs()):
+        name = next(iter(e.uses))[1] if e.is_ref() else f"__order{k}"
+        if not e.is_ref():
+            made[name] = e
+        keys.append((name, direction))
+    return keys, made
+
+
 def _level(ctx: Context, far: str, keys: list[tuple[str, str]]) -> Any:
     from pyspark.sql import Window as W
 

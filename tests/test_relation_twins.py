@@ -44,3 +44,25 @@ def test_some_none_every_leaves_out_odd_customers_without_orders(twin):
         orders=orders([1, 2, 3, 4, 5, 6], [3, 3, 4, 5, 6, None], [400000.0, 100.0, None, 9000.0, 300000.5, 1.0], ["F", "P", "F", "O", None, "F"]),
     )
     assert got == want and len(got) == 6
+
+
+def test_nested_takes_the_order_of_the_sql_and_no_customer_without_a_nation(twin):
+    got, want = twin(
+        "q_relation_nested", nation={"n_nationkey": pa.array([0, 1], pa.int32()), "n_name": ["A", "B"], "n_regionkey": pa.array([0, 0], pa.int32())}, customer=customers([1, 2, 3, 4, 5], [0, 1, 7, None, 1]),
+        orders=orders([1, 9_000_000, 5, 6, 7, 8, None], [1, 1, 2, 2, 3, 4, 2], [300000.01, 300000.0, 250000.0, 250000.0, 300000.0, 300000.0, 400000.0]),
+    )
+    assert got == want and got == ["(1, 'A', 2, 9000000)", "(2, 'B', 3, 6)", "(5, 'B', 0, None)"]
+
+
+def test_a_level_is_ordered_by_expressions(spark, tmp_path):
+    import larkspur.types as t
+    from larkspur.operators.relations import Read, Relations, many
+    from larkspur.table import parquet_table
+
+    pq.write_table(pa.table({"k": [1, 2]}), tmp_path / "a.parquet")
+    pq.write_table(pa.table({"k": [1, 1, 1, 2], "x": [3, 1, 2, 9]}), tmp_path / "b.parquet")
+    a, b = (parquet_table(n, f"{tmp_path}/{n}.parquet", {c: t.int64 for c in columns}) for n, columns in (("a", ["k"]), ("b", ["k", "x"])))
+    level = Read(order_by=lambda r: [(r.x.mod(3), "desc"), (r.x, "asc")], columns=("x",))
+    got = Relations({"a": {"bs": many(b, "k", "k")}}).find_many(spark, a, Read(order_by=lambda r: [(r.k.mul(-1), "asc")], with_={"bs": level}))
+    assert got.columns == ["k", "bs"]
+    assert [(r["k"], [x.asDict() for x in r["bs"]]) for r in got.collect()] == [(2, [{"x": 9}]), (1, [{"x": 2}, {"x": 1}, {"x": 3}])]
