@@ -45,3 +45,17 @@ def test_media_row(text):
     whole = raw + b"\0" * (-len(raw) % 64 if raw else 64)
     assert (n, size, sha, crc) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
     assert tiff.media_row(text) == tiff.media_row(text) and media > 0
+
+
+@pytest.mark.parametrize("size", [64, 256, 320, 8128, 8192, 8256, 200_000])
+def test_every_coding_is_used_at_every_size(size):
+    rng, codings = np.random.default_rng(size), {}
+    size -= size % 64
+    for _ in range(60):
+        payload = rng.integers(97, 123, size, dtype=np.uint8).tobytes()
+        found = tiff.read_pages(tiff.stored(payload)) if len(codings) < 5 else []
+        if found:
+            assert b"".join(p.pixels.tobytes() for p in found) == payload
+            assert [len(p.pixels) for p in found[:-1]] == [tiff.PAGE_ROWS] * (len(found) - 1) and 0 < len(found[-1].pixels) <= tiff.PAGE_ROWS
+            codings[found[0].compression, found[0].predictor, found[0].tiled] = zlib.crc32(payload) % 5
+    assert codings == {(tiff.LZW, 1, False): 0, (tiff.PACKBITS, 1, False): 1, (tiff.DEFLATE, 2, True): 2, (tiff.DEFLATE, 1, False): 3, (tiff.DEFLATE, 2, False): 4}
